@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, quality, simhash, substrings, token_counts
+from . import fingerprints, mixing, quality, sharding, simhash, substrings, token_counts
 from .runtime import table
 
 
@@ -30,6 +30,16 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeats(table(spark, sf_dir, "documents"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard of every document, balanced by bytes, tokens and rows."""
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the mixture, by shard and block."""
+    return mixing.selected(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram token counts of all documents."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
@@ -40,7 +50,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_sharding": op7_sharding,
+    "op9_mixing_sources": op9_mixing_sources,
     "op10_token_counts": op10_token_counts,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op9_mixing_sources": mixing.SELECTED_SQL,
+}
