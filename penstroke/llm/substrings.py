@@ -250,8 +250,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     packed = texts.mapInArrow(_probe(parts), _PACKED).repartition(parts, "part")
     live = materialise(packed.mapInArrow(_live, "doc_id long, anchor long"))
     hits = live.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")).withColumnRenamed("doc_id", "__id")
-    side = sized_hint(hits, live.count(), 16)
-    near = texts.join(side.hint("shuffle_hash") if side is hits else side, F.col("doc_id") == F.col("__id")).drop("__id")
+    # the hits grow with the text, so both sides shuffle at every size; hashing the hits spares sorting the texts
+    near = texts.join(hits.hint("shuffle_hash"), F.col("doc_id") == F.col("__id")).drop("__id")
     windows = near.mapInArrow(_extend(parts), _PACKED).repartition(parts, "part")
     later = windows.mapInArrow(_later(parts), _PACKED).repartition(parts, "part")
     return later.mapInArrow(_join_runs, "doc_id long, start_word int, n_words int, first_doc_id long, first_start_word int")
