@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, quality, sharding, simhash, substrings, token_counts
+from . import fingerprints, mixing, packing, quality, sharding, simhash, substrings, token_counts
 from .runtime import table
 
 
@@ -35,6 +35,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of related documents over all documents."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of the mixture, by shard and block."""
     return mixing.selected(table(spark, sf_dir, "documents"))
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_sharding": op7_sharding,
+    "op8_packing": op8_packing,
     "op9_mixing_sources": op9_mixing_sources,
     "op10_token_counts": op10_token_counts,
 }
