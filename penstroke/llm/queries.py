@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, packing, quality, sharding, simhash, substrings, token_counts
+from . import fingerprints, html_extract, mixing, packing, quality, sharding, simhash, substrings, token_counts, topk
 from .runtime import table
 
 
@@ -15,11 +15,21 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.weighted_signatures(table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calibrated quality of all documents, by a model fitted to the labelled ones."""
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest neighbours of every embedding."""
+    return topk.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates among all documents: ``doc_id, kept_doc_id``."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -52,7 +62,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": op1_document_fingerprints,
+    "op2_html_extraction": op2_html_extraction,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_exact_topk": op4_exact_topk,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_sharding": op7_sharding,
@@ -62,5 +74,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op4_exact_topk": topk.NEAREST_SQL,
     "op9_mixing_sources": mixing.SELECTED_SQL,
 }
