@@ -1,4 +1,8 @@
 """Registered queries over the driver tables and their SQL equivalents."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from . import analysis, measures, turns
+
+QUERIES = measures.QUERIES | turns.QUERIES | analysis.QUERIES
+SQL = measures.SQL | turns.SQL | analysis.SQL
