@@ -21,7 +21,7 @@ def candidates(docs: DataFrame, register: str, key: str = "doc_id", text: str =
     length, comma = F.col("n_words") / F.col("n_sentences"), F.col("commas") / F.col("n_words")
     means = sized.groupBy(register).agg(F.avg(length).alias("__l"), F.avg(comma).alias("__c"), F.stddev_pop(length).alias("__ls"), F.stddev_pop(comma).alias("__cs"))
     whole = F.col("paragraph").rlike(r"(?s)^[A-Z\"'(].*[.!?][\"')]?$") & ~F.col("paragraph").rlike(_UNCLEAN)
-    kept = sized.where(F.col("n_words").between(LEAST_WORDS, MOST_WORDS) & whole).join(F.broadcast(means), register)
+    kept = sized.where(F.col("n_words").between(LEAST_WORDS, MOST_WORDS) & whole).join(means, register)
     distance = F.abs(length - F.col("__l")) / F.when(F.col("__ls") > 0, F.col("__ls")).otherwise(1.0) + F.abs(comma - F.col("__c")) / F.when(F.col("__cs") > 0, F.col("__cs")).otherwise(1.0)
     return kept.select(register, key, "place", "paragraph", "n_words", F.round(distance, 6).alias("distance"))
 

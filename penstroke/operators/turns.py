@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,17 +13,21 @@ LEAST_CHARS = 20
 
 
 def leaked(text: Column) -> Column:
-    """Whether the text holds an assistant's phrase."""
-    low = F.lower(text)
-    return reduce(or_, [F.contains(low, F.lit(p)) for p in lexicons.ASSISTANT_PHRASES])
+    """Whether the text holds an assistant's phrase: one pass for all phrases."""
+    return F.lower(text).rlike("|".join(rf"\Q{p}\E" for p in lexicons.ASSISTANT_PHRASES))
+
+
+def _kept(rows: DataFrame, cleaned: Column, keep: Callable[[Column], Column]) -> DataFrame:
+    """``rows`` with ``cleaned``, where it is kept. The test runs on a generated row, for a filter would be pushed below
+    the cleaning and repeat it at each mention."""
+    return rows.select("*", F.explode(F.filter(F.array(cleaned), keep)).alias("cleaned"))
 
 
 def author_turns(turns: DataFrame, role: str = "user") -> DataFrame:
     """Turns of one role with their cleaned text. The raw stripped length is tested, as in JSON exports; what is blank
     after cleaning, or leaked from an assistant, is dropped."""
     mine = turns.where((F.col("role") == role) & (F.length(clean.strip(F.col("text"))) > LEAST_CHARS))
-    cleaned = mine.withColumn("cleaned", clean.clean_turn(clean.strip(F.col("text"))))
-    return cleaned.where((F.col("cleaned") != "") & ~leaked(F.col("cleaned")))
+    return _kept(mine, clean.clean_turn(clean.strip(F.col("text"))), lambda c: (c != "") & ~leaked(c))
 
 
 def headed_turns(files: DataFrame, marker: str, text: str = "text") -> DataFrame:
@@ -32,8 +35,8 @@ def headed_turns(files: DataFrame, marker: str, text: str = "text") -> DataFrame
     is tested."""
     wanted = marker.strip().lower()
     each = files.select("*", F.posexplode(segment.sections(F.col(text))).alias("turn", "__s"))
-    mine = each.where(F.startswith(F.lower(clean.strip(F.col("__s.heading"))), F.lit(wanted))).withColumn("cleaned", clean.clean_turn(F.col("__s.body")))
-    return mine.where((F.length("cleaned") > LEAST_CHARS) & ~leaked(F.col("cleaned"))).drop("__s")
+    mine = each.where(F.startswith(F.lower(clean.strip(F.col("__s.heading"))), F.lit(wanted)))
+    return _kept(mine, clean.clean_turn(F.col("__s.body")), lambda c: (F.length(c) > LEAST_CHARS) & ~leaked(c)).drop("__s")
 
 
 def extraction_stats(files: DataFrame, turns: DataFrame, key: str, raw_size: Column, order: str = "turn", threshold: float = 0.05) -> DataFrame:

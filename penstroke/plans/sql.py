@@ -44,7 +44,7 @@ def sentences(x: str) -> str:
     dot = "chr(57344)"
     x = f"replace(replace({x}, 'e.g.', 'e' || {dot} || 'g' || {dot}), 'i.e.', 'i' || {dot} || 'e' || {dot})"
     x = rf"regexp_replace({x}, '\b(Mr|Mrs|Ms|Dr|Prof|Sr|Jr|vs|etc|fig|al|cf)[.]', '\1' || {dot}, 'g')"
-    x = rf"string_split(regexp_replace({x}, '([.!?])\s+([A-Z""''(])', '\1' || chr(1) || '\2', 'g'), chr(1))".replace('""', '"')
+    x = rf"""string_split(regexp_replace({x}, '([.!?])\s+([A-Z"''(])', '\1' || chr(1) || '\2', 'g'), chr(1))"""
     return f"list_filter(list_transform({x}, lambda s: {strip(f'replace(s, {dot}, {lit(chr(46))})')}), lambda s: length(s) > 3)"
 
 
