@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .runtime import materialise, sized_hint
+from .runtime import materialise, sized_hint, unused
 
 BLOCK_TOKENS = 4096
 TEMPERATURE = 0.7
@@ -83,8 +83,9 @@ def selected(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFr
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """Those rows of ``docs`` that are in the mixture."""
-    ids = materialise(selected(docs, weights).select(F.col("doc_id").alias("__in")))
-    return docs.join(sized_hint(ids, ids.count(), 32), F.col("doc_id") == F.col("__in"), "left_semi")
+    key = unused(docs, "__in")
+    ids = materialise(selected(docs, weights).select(F.col("doc_id").alias(key)))
+    return docs.join(sized_hint(ids, ids.count(), 32), F.col("doc_id") == F.col(key), "left_semi")
 
 
 SELECTED_SQL = f"""

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .runtime import materialise, shuffle_partitions, sized_hint
+from .runtime import materialise, shuffle_partitions, sized_hint, unused
 from .text import Words, bounds, mix64, slices, sum_runs
 
 BITS = 128
@@ -247,5 +247,6 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     Rows with a null id, or a text without words, stay. Of rows that share one id, all stay or all go.
     """
-    gone = materialise(near_duplicates(docs).select(F.col("doc_id").alias("__gone")))
-    return docs.join(sized_hint(gone, gone.count(), 32), F.col("doc_id") == F.col("__gone"), "left_anti")
+    key = unused(docs, "__gone")
+    gone = materialise(near_duplicates(docs).select(F.col("doc_id").alias(key)))
+    return docs.join(sized_hint(gone, gone.count(), 32), F.col("doc_id") == F.col(key), "left_anti")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .runtime import materialise, shuffle_partitions, sized_hint
+from .runtime import materialise, shuffle_partitions, sized_hint, unused
 from .text import Words, rolling, slices
 
 ANCHOR = 25
@@ -287,11 +287,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Texts without repeats, null ones included, stay as they are.
     """
-    spans = materialise(repeats(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "n_words")).alias("__spans")).withColumnRenamed("doc_id", "__id"))
-    joined = docs.join(sized_hint(spans, spans.count(), 96), F.col("doc_id") == F.col("__id"), "left")
-    touched = F.col("__spans").isNotNull() & F.col("text").isNotNull()
-    joined = joined.withColumn("__cut", _cut(F.when(touched, F.col("text")), F.when(touched, F.col("__spans"))))
-    joined = joined.where(F.col("__cut").isNull() | F.col("__cut").rlike(r"[^ \t\n\r\f\x0B]")).withColumn("text", F.coalesce("__cut", "text"))
+    key, found, left = (unused(docs, n) for n in ("__id", "__spans", "__cut"))
+    spans = materialise(repeats(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "n_words")).alias(found)).withColumnRenamed("doc_id", key))
+    joined = docs.join(sized_hint(spans, spans.count(), 96), F.col("doc_id") == F.col(key), "left")
+    touched = F.col(found).isNotNull() & F.col("text").isNotNull()
+    joined = joined.withColumn(left, _cut(F.when(touched, F.col("text")), F.when(touched, F.col(found))))
+    joined = joined.where(F.col(left).isNull() | F.col(left).rlike(r"[^ \t\n\r\f\x0B]")).withColumn("text", F.coalesce(left, "text"))
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("__cut").isNull(), F.col("n_chars")).otherwise(F.length("__cut").cast(docs.schema["n_chars"].dataType)))
+        joined = joined.withColumn("n_chars", F.when(F.col(left).isNull(), F.col("n_chars")).otherwise(F.length(left).cast(docs.schema["n_chars"].dataType)))
     return joined.select(*docs.columns)

@@ -98,6 +98,6 @@ def test_empty_table_and_extra_columns(spark, make_docs):
     from pyspark.sql import functions as F
 
     assert S.repeats(make_docs([])).count() == 0
-    docs = make_docs([(1, "w " * 10), (2, None)]).withColumn("anchors", F.lit(1)).withColumn("part", F.lit("x")).withColumn("payload", F.lit(None))
+    docs = make_docs([(1, "w " * 10), (2, None)]).withColumn("anchors", F.lit(1)).withColumn("part", F.lit("x")).withColumn("payload", F.lit(None)).withColumn("__id", F.lit(5)).withColumn("__cut", F.lit("c"))
     assert S.repeats(docs).count() == 0
     assert S.remove_repeats(docs).columns == docs.columns and S.remove_repeats(docs).count() == 2
