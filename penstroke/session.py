@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import io
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -28,15 +29,32 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, name: str = "pe
     return session
 
 
+#: Rows of an Arrow batch: texts are long, and a batch is held in the JVM and in the worker.
+ARROW_ROWS = 1000
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send the package's sources to the executors once per session (a no-op in local mode, where they are importable)."""
+    """Set the batch size of the session, and send the package's sources to its executors once (in local mode they are
+    importable). The archive goes through the shared folder of ``spark.checkpoint.dir`` where that is set."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     context = spark.sparkContext
     if context.master.startswith("local[") or context.master == "local" or getattr(context, "_penstroke_shipped", False):
         return
-    handle, path = tempfile.mkstemp(prefix="penstroke-", suffix=".zip")
-    os.close(handle)
-    with zipfile.ZipFile(path, "w") as archive:
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as archive:
         for source in sorted(_PACKAGE.rglob("*.py")):
             archive.write(source, Path(_PACKAGE.name) / source.relative_to(_PACKAGE))
+    name = f"penstroke-{uuid.uuid4().hex}.zip"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        jvm = spark._jvm
+        target = jvm.org.apache.hadoop.fs.Path(f"{shared.rstrip('/')}/{name}")
+        stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+        stream.write(bytearray(buffer.getvalue()))
+        stream.close()
+        path = target.toString()
+    else:
+        path = str(Path(tempfile.mkdtemp(prefix="penstroke-")) / name)
+        Path(path).write_bytes(buffer.getvalue())
     context.addPyFile(path)
     context._penstroke_shipped = True
