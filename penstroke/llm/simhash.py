@@ -236,7 +236,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     prefix = min(max(0, int(np.ceil(np.log2(max(rows, 1) / CELL_ROWS))) if rows else 0), min(_WIDTHS))
     cells = SEGMENTS << prefix
     routed = distinct.mapInArrow(_route(prefix), "cell int, own boolean, payload binary")
-    edges = routed.repartition(min(cells, 4 * shuffle_partitions(spark)), "cell").mapInArrow(_match(prefix), "a long, b long")
+    edges = routed.repartitionById(min(cells, 4 * shuffle_partitions(spark)), "cell").mapInArrow(_match(prefix), "a long, b long")
     roots = materialise(connected_components(edges))
     joined = prints.select("doc_id", "first_id").join(sized_hint(roots, roots.count(), 32), F.col("first_id") == F.col("node"), "left")
     return joined.select("doc_id", F.coalesce("root", "first_id").alias("kept_doc_id")).where("doc_id <> kept_doc_id").distinct()

@@ -32,7 +32,7 @@ from .text import Words, rolling, slices
 ANCHOR = 25
 MIN_WORDS = 2 * ANCHOR
 #: Text bytes whose windows go into one packed record a partition.
-PACK_BYTES = 12 << 20
+PACK_BYTES = 8 << 20
 
 _PACKED = "part int, block boolean, payload binary"
 
@@ -101,22 +101,31 @@ def _probe(parts: int):
     """Hashes of reference blocks and of all other windows, packed by partition of the hash space."""
 
     def emit(held: list) -> pa.RecordBatch:
-        ids, hashes, block = (np.concatenate(x) for x in zip(*held))
-        order = np.argsort(ids, kind="stable")
-        ids, hashes, block = ids[order], hashes[order], block[order]
-        part, low, rows = _part(hashes, parts), hashes.astype(np.uint32), []
-        for kind in (True, False):
-            at = np.flatnonzero(block == kind)
-            for p, which in _by_part(part[at], parts):
-                rows.append((p, kind, _pack(ids[at[which]], low[at[which]])))
+        sizes = [len(h[0]) for h in held]
+        ids = np.concatenate([h[0] for h in held])
+        by_id = np.argsort(ids, kind="stable")
+        rank = np.empty(len(ids), np.uint64)
+        rank[by_id] = np.arange(len(ids), dtype=np.uint64)
+        # one key a window: partition, block or not, place of its document among the sorted ids
+        first = np.cumsum([0, *sizes])
+        key = np.concatenate([h[1] | rank[h[2] + at] for h, at in zip(held, first)])
+        low = np.concatenate([h[3] for h in held])
+        held.clear()
+        order = np.argsort(key, kind="stable")
+        key, low, ids = key[order], low[order], ids[by_id]
+        group = (key >> np.uint64(32)).astype(np.int64)
+        edges = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
+        rows = [(int(group[x]) >> 1, group[x] & 1 == 0, _pack(ids[(key[x:y] & np.uint64(0xFFFFFFFF)).astype(np.int64)], low[x:y])) for x, y in zip(edges[:-1], edges[1:])]
         return _batch(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held: list[tuple] = []
+        size = 0
         for part in _sorted_slices(batches):
             words, ids, at, hashes = _windows(part, ANCHOR)
             row = words.row[at]
-            held.append((ids[row], hashes, (at - words.starts[row]) % ANCHOR == 0))
+            inner = ((at - words.starts[row]) % ANCHOR != 0).astype(np.uint64)
+            held.append((ids, (_part(hashes, parts).astype(np.uint64) << np.uint64(33)) | (inner << np.uint64(32)), row, hashes.astype(np.uint32)))
             size += part.column("text").nbytes
             if size >= PACK_BYTES:
                 yield emit(held)
@@ -247,13 +256,13 @@ def repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    packed = texts.mapInArrow(_probe(parts), _PACKED).repartition(parts, "part")
+    packed = texts.mapInArrow(_probe(parts), _PACKED).repartitionById(parts, "part")
     live = materialise(packed.mapInArrow(_live, "doc_id long, anchor long"))
     hits = live.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")).withColumnRenamed("doc_id", "__id")
     # the hits grow with the text, so both sides shuffle at every size; hashing the hits spares sorting the texts
     near = texts.join(hits.hint("shuffle_hash"), F.col("doc_id") == F.col("__id")).drop("__id")
-    windows = near.mapInArrow(_extend(parts), _PACKED).repartition(parts, "part")
-    later = windows.mapInArrow(_later(parts), _PACKED).repartition(parts, "part")
+    windows = near.mapInArrow(_extend(parts), _PACKED).repartitionById(parts, "part")
+    later = windows.mapInArrow(_later(parts), _PACKED).repartitionById(parts, "part")
     return later.mapInArrow(_join_runs, "doc_id long, start_word int, n_words int, first_doc_id long, first_start_word int")
 
 

@@ -5,6 +5,7 @@ Everything here is deterministic across workers and runs (no salted hashing).
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes handled at once by a Python worker; bounds its memory whatever the batch size.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Freed arrays from this size on go back to the system at once, for a worker stays resident between its tasks.
+_RETURNED_BYTES = 4 << 20
+
+
+def _return_memory() -> None:
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):  # glibc; M_MMAP_THRESHOLD and M_TRIM_THRESHOLD
+        libc.mallopt(-3, _RETURNED_BYTES)
+        libc.mallopt(-1, _RETURNED_BYTES)
+        pa.set_memory_pool(pa.system_memory_pool())
+
+
+_return_memory()
 
 _MUL = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MUL_INV = np.uint64(pow(int(_MUL), -1, 1 << 64))
