@@ -38,8 +38,12 @@ def as_dicts(profiles: DataFrame, register: str) -> list[dict]:
     return out
 
 
+def as_json(profile: dict) -> str:
+    return json.dumps(profile, indent=2, ensure_ascii=False)
+
+
 def write_json(profile: dict, path: str) -> None:
-    Path(path).write_text(json.dumps(profile, indent=2, ensure_ascii=False), encoding="utf-8")
+    write_text(as_json(profile), path)
 
 
 def _table(head: tuple[str, ...], rows: Iterable[tuple]) -> list[str]:

@@ -13,11 +13,11 @@ _FILE = "_metadata.file_path"
 def read_texts(spark: SparkSession, path: str, pattern: str = "*.{md,txt}") -> DataFrame:
     """``path, stem, size, text`` of each file below ``path`` that fits the pattern; a single file is read whatever its
     name. Bytes that aren't UTF-8 become U+FFFD, line ends a line feed."""
-    reader = spark.read.option("recursiveFileLookup", True).option("wholetext", True)
+    reader = spark.read.option("recursiveFileLookup", True)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory():
         reader = reader.option("pathGlobFilter", pattern)
-    raw = reader.text(path).select(F.col(_FILE).alias("path"), F.col("_metadata.file_size").alias("size"), unix_lines(F.col("value")).alias("text"))
+    raw = reader.text(path, wholetext=True).select(F.col(_FILE).alias("path"), F.col("_metadata.file_size").alias("size"), unix_lines(F.col("value")).alias("text"))
     stem = F.regexp_replace(F.substring_index("path", "/", -1), r"[.][^.]*$", "")
     return raw.select("path", stem.alias("stem"), "size", "text")
 
