@@ -7,6 +7,8 @@ but these aggregates.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -69,9 +71,9 @@ def _per(part: str, whole: str, times: int = 1) -> Column:
     return share * times if times != 1 else share
 
 
-def rates(total: DataFrame, by: list[str]) -> DataFrame:
-    """Every rate and ratio that follows from the totals; an empty scope gives 0, never null."""
-    out = {
+def rate_columns() -> dict[str, Column]:
+    """Every rate and ratio that follows from the totals, as Columns over ``COUNTS``."""
+    return {
         "mattr_window100": _per("window_types", "window_places"),
         "concession_rate": _per("concession", "sentence_count"),
         "comma_per_sentence": _per("comma", "sentence_count"),
@@ -80,7 +82,11 @@ def rates(total: DataFrame, by: list[str]) -> DataFrame:
         **{f"{p}_per_100w": _per(p, "word_count", 100) for p in ("first_sg", "first_pl", "second", "third")}, "first_pl_to_sg_ratio": _per("first_pl", "first_sg"),
         "bullet_ratio": _per("bullet_lines", "total_lines"), "heading_density_per_1000_words": _per("heading_lines", "word_count", 1000),
     }
-    return total.select(*by, *[c.alias(n) for n, c in out.items()])
+
+
+def rates(total: DataFrame, by: list[str]) -> DataFrame:
+    """``by`` and the rates; an empty scope gives 0, never null."""
+    return total.select(*by, *[c.alias(n) for n, c in rate_columns().items()])
 
 
 def word_counts(measured: DataFrame, by: list[str]) -> DataFrame:
@@ -169,19 +175,73 @@ def readability(measured: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def _stats_of(histogram: Column, prefix: str) -> dict[str, Column]:
+    """Length statistics from a sorted ``array<struct<x, k>>``; null for an empty one."""
+    n = F.aggregate(histogram, F.lit(0).cast("long"), lambda a, h: a + h["k"])
+    total = F.aggregate(histogram, F.lit(0).cast("long"), lambda a, h: a + h["x"] * h["k"])
+    squares = F.aggregate(histogram, F.lit(0).cast("long"), lambda a, h: a + h["x"] * h["x"] * h["k"])
+
+    def share(test: Callable[[Column], Column]) -> Column:
+        return F.aggregate(histogram, F.lit(0).cast("long"), lambda a, h: a + F.when(test(h["x"]), h["k"]).otherwise(0)) / F.col(f"{prefix}n")
+
+    def at(index: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(None).cast("long").alias("x"))
+        step = F.aggregate(histogram, start, lambda a, h: F.struct((a["upto"] + h["k"]).alias("upto"), F.when(a["x"].isNull() & (a["upto"] + h["k"] > index), h["x"]).otherwise(a["x"]).alias("x")))
+        return step["x"]
+
+    count = F.col(f"{prefix}n")
+    spread = F.greatest(F.col(f"{prefix}squares") * count - F.col(f"{prefix}total") * F.col(f"{prefix}total"), F.lit(0)) / (count * (count - 1))
+    return {
+        f"{prefix}n": F.when(n > 0, n), f"{prefix}total": total, f"{prefix}squares": squares, f"{prefix}mean": F.col(f"{prefix}total") / count,
+        f"{prefix}median": (at(F.expr(f"({prefix}n - 1) div 2")) + at(F.expr(f"{prefix}n div 2"))) / 2,
+        f"{prefix}stdev": F.when(count > 1, F.sqrt(F.when(count > 1, spread))).when(count == 1, 0.0),
+        f"{prefix}q1": at(F.expr(f"{prefix}n div 4")), f"{prefix}q3": at(F.expr(f"3 * {prefix}n div 4")), f"{prefix}min": F.get(histogram, 0)["x"], f"{prefix}max": F.get(F.reverse(histogram), 0)["x"],
+        f"{prefix}short": share(lambda x: x <= 5), f"{prefix}long": share(lambda x: x >= 30),
+    }
+
+
+def _facts(measured: DataFrame, by: list[str]) -> DataFrame:
+    """``by, kind, key, n``: counts by name, words, sentence and paragraph sizes of a scope, all from one pass."""
+
+    def fact(kind: str, key: Column, n: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), key.alias("key"), n.alias("n"))
+
+    once = F.lit(1).cast("long")
+    rows = F.concat(
+        F.array(*[fact("count", F.lit(c), F.col(c)) for c in COUNTS]),
+        F.transform("words", lambda w: fact("word", w, once)),
+        F.transform(F.filter(F.transform("sentence_words", F.size), lambda x: x > 0), lambda x: fact("sentence", x.cast("string"), once)),
+        F.transform(F.filter("paragraph_sizes", lambda x: x > 0), lambda x: fact("paragraph", x.cast("string"), once)),
+    )
+    return measured.select(*by, F.inline(rows)).groupBy(*by, "kind", "key").agg(F.sum("n").alias("n"))
+
+
 def scalars(measured: DataFrame, by: list[str]) -> DataFrame:
-    """Every scalar feature of a scope in one row."""
-    total = totals(measured, by)
-    rate = rates(total, by)
-    once = hapax(word_counts(measured, by), by).select(*by, (F.col("hapaxes") / F.col("tokens")).alias("hapax_ratio"))
-    s = sentence_stats(measured, by)
-    s = s.select(*by, F.col("n").alias("counted_sentences"), F.col("mean").alias("mean_words"), F.col("median").alias("median_words"), F.col("stdev").alias("stdev_words"), F.col("q1").alias("q1_words"), F.col("q3").alias("q3_words"), F.col("min").alias("min_words"), F.col("max").alias("max_words"), F.col("share_short").alias("pct_short_le5"), F.col("share_long").alias("pct_long_ge30"))
-    p = paragraph_stats(measured, by).select(*by, F.col("n").alias("counted_paragraphs"), F.col("mean").alias("paragraph_mean_words"), F.col("median").alias("paragraph_median_words"), F.col("stdev").alias("paragraph_stdev_words"))
-    basic = total.select(*by, "word_count", "sentence_count", "paragraph_count", "char_count", "total_lines", "bullet_lines", "heading_lines", "code_fences")
-    out = basic
-    for part in (rate, once, s, p):
-        out = out.join(part, by, "left")
-    return out.withColumn("hapax_ratio", F.coalesce("hapax_ratio", F.lit(0.0)))
+    """Every scalar feature of a scope in one row.
+
+    The documents are read and measured once: all counts meet in one aggregation by (scope, kind, key), whose result,
+    as large as the vocabulary, is aggregated by scope.
+    """
+    kind, key, n = F.col("kind"), F.col("key"), F.col("n")
+
+    def histogram(name: str) -> Column:
+        return F.sort_array(F.collect_list(F.when(kind == name, F.struct(key.try_cast("long").alias("x"), n.alias("k")))))
+
+    total = _facts(measured, by).groupBy(*by).agg(
+        *[F.coalesce(F.sum(F.when((kind == "count") & (key == c), n)), F.lit(0)).alias(c) for c in COUNTS],
+        F.coalesce(F.sum(F.when((kind == "word") & (n == 1), 1)), F.lit(0)).alias("hapaxes"), histogram("sentence").alias("__s"), histogram("paragraph").alias("__p"),
+    )
+    for prefix, hist in (("s_", "__s"), ("p_", "__p")):
+        found = _stats_of(F.col(hist), prefix)
+        for step in (["n"], ["total", "squares"], ["mean", "median", "stdev", "q1", "q3", "min", "max", "short", "long"]):
+            total = total.select("*", *[found[prefix + c].alias(prefix + c) for c in step])
+    basic = ["word_count", "sentence_count", "paragraph_count", "char_count", "total_lines", "bullet_lines", "heading_lines", "code_fences"]
+    sentence = {"n": "counted_sentences", "mean": "mean_words", "median": "median_words", "stdev": "stdev_words", "q1": "q1_words", "q3": "q3_words", "min": "min_words", "max": "max_words", "short": "pct_short_le5", "long": "pct_long_ge30"}
+    paragraph = {"n": "counted_paragraphs", "mean": "paragraph_mean_words", "median": "paragraph_median_words", "stdev": "paragraph_stdev_words"}
+    return total.select(
+        *by, *basic, *[c.alias(name) for name, c in rate_columns().items()], _per("hapaxes", "word_count").alias("hapax_ratio"),
+        *[F.col(f"s_{k}").alias(v) for k, v in sentence.items()], *[F.col(f"p_{k}").alias(v) for k, v in paragraph.items()],
+    )
 
 
 def features_long(scalar: DataFrame, by: list[str]) -> DataFrame:
