@@ -75,5 +75,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op4_exact_topk": topk.NEAREST_SQL,
+    "op6_substring_dedup": substrings.REPEATS_SQL,
     "op9_mixing_sources": mixing.SELECTED_SQL,
 }

@@ -305,3 +305,26 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.when(F.col(left).isNull(), F.col("n_chars")).otherwise(F.length(left).cast(docs.schema["n_chars"].dataType)))
     return joined.select(*docs.columns)
+
+
+#: The same repeats without anchors: every window of every text, grouped by its words.
+REPEATS_SQL = f"""
+WITH texts AS (
+  SELECT DISTINCT doc_id, regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+') AS words FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), windows AS (
+  SELECT doc_id, unnest(range(greatest(len(words) - {MIN_WORDS - 1}, 0))) AS start,
+    unnest(list_transform(range(greatest(len(words) - {MIN_WORDS - 1}, 0)), lambda i: md5(array_to_string(words[i + 1:i + {MIN_WORDS}], ' ')))) AS content
+  FROM texts
+), places AS (
+  SELECT DISTINCT * FROM windows
+), firsts AS (
+  SELECT content, min((doc_id, start)) AS first FROM places GROUP BY content HAVING count(*) > 1
+), later AS (
+  SELECT doc_id, start, first[1] AS first_doc_id, first[2] AS first_start FROM places JOIN firsts USING (content)
+  WHERE doc_id <> first[1] OR start - first[2] >= {MIN_WORDS}
+), runs AS (
+  SELECT *, start - row_number() OVER (PARTITION BY doc_id, first_doc_id, first_start - start ORDER BY start) AS run FROM later
+)
+SELECT doc_id, CAST(min(start) AS INTEGER) AS start_word, CAST(count(*) + {MIN_WORDS - 1} AS INTEGER) AS n_words, first_doc_id, CAST(min(first_start) AS INTEGER) AS first_start_word
+FROM runs GROUP BY doc_id, first_doc_id, first_start - start, run
+"""

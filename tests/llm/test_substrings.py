@@ -1,6 +1,8 @@
 import random
 from collections import defaultdict
 
+import duckdb
+
 from penstroke.llm import substrings as S
 
 from .conftest import words
@@ -88,6 +90,15 @@ def test_removal(make_docs):
     assert all(n == len(t) for (d, t), n in out.items() if t is not None)
 
 
+def test_sql_says_the_same(make_docs, tmp_path):
+    docs = make_docs(corpus())
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    want = con.execute(f"SELECT doc_id, start_word, n_words, first_doc_id, first_start_word FROM ({S.REPEATS_SQL})").fetchall()
+    assert sorted(map(tuple, S.repeats(docs).collect())) == sorted(want)
+
+
 def test_cut_keeps_layout():
     assert S.cut("a b\nc d\n\ne", [(1, 2)]) == "a d\n\ne"
     assert S.cut("a b\nc d\n\ne", [(3, 2)]) == "a b\nc "
