@@ -16,19 +16,26 @@ from pyspark.sql import functions as F
 #: A join side is broadcast only while rows times width stay below this; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
 
-_own_dir: str | None = None
+_folders: dict[str, str] = {}
+
+
+def _remove(path, configuration) -> None:
+    path.getFileSystem(configuration).delete(path, True)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``, or a private one where that is unset."""
-    global _own_dir
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="penstroke-")
-        atexit.register(shutil.rmtree, _own_dir, True)
-    return "file://" + _own_dir
+    """A folder of this driver's that every executor can reach, below ``spark.checkpoint.dir``, or a private one where that
+    is unset. It goes when the driver ends."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or ""
+    if named not in _folders:
+        if named:
+            _folders[named] = f"{named.rstrip('/')}/penstroke-{uuid.uuid4().hex}"
+            atexit.register(_remove, spark._jvm.org.apache.hadoop.fs.Path(_folders[named]), spark._jsc.hadoopConfiguration())
+        else:
+            own = tempfile.mkdtemp(prefix="penstroke-")
+            atexit.register(shutil.rmtree, own, True)
+            _folders[named] = "file://" + own
+    return _folders[named]
 
 
 def materialise(df: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -36,7 +43,7 @@ def materialise(df: DataFrame, partitions: int | None = None) -> DataFrame:
 
     A lost executor then costs a re-read, never a recomputation of the whole chain.
     """
-    path = f"{shared_dir(df.sparkSession)}/penstroke-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     (df.coalesce(partitions) if partitions else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
