@@ -20,6 +20,8 @@ _LISTS = {
     "first_pl": lexicons.FIRST_PLURAL, "second": lexicons.SECOND_PERSON, "third": lexicons.THIRD_PERSON,
 }
 
+_MARKED = sorted({w for terms in _LISTS.values() for w in terms})
+
 #: Additive counts of a document, in the order of ``totals``.
 COUNTS = [
     "word_count", "sentence_count", "paragraph_count", "char_count", "window_types", "window_places",
@@ -47,8 +49,9 @@ def measure(docs: DataFrame, by: list[str], order: str = "doc_id", text: str = "
         "*", F.transform("sentences", segment.words).alias("sentence_words"), F.transform("paragraphs", lambda p: F.size(segment.words(p))).alias("paragraph_sizes"),
         counts.window_types(F.col("words")).alias("__w"),
     )
-    words = F.col("words")
-    lists = {name: counts.in_list(words, terms) for name, terms in _LISTS.items()}
+    # one pass over all words, then one over the few marked ones for each class
+    cut = cut.withColumn("marked", F.filter("words", lambda w: w.isin(_MARKED)))
+    lists = {name: counts.in_list(F.col("marked"), terms) for name, terms in _LISTS.items()}
     lists["hedge"] = lists["hedge"] + counts.hedge_phrases(prose)
     concession = F.size(F.filter("sentence_words", lambda s: F.exists(s, lambda w: w.isin(lexicons.CONCESSIONS))))
     values = {
