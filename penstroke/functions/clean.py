@@ -5,7 +5,9 @@ Flags: (?U) Unicode classes, (?d) only a line feed ends a line, (?s) dot matches
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,8 +57,29 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
 
 
+#: What a text must hold for a step to find anything: most texts pass most steps without running their pattern.
+_NEEDED: dict[str, list[str]] = {
+    _FRONT: ["---"], _FENCE: ["```"], _CODE: ["`"], _CITATION: ["[", "\\"], _IMAGE: ["!["], _TAG: ["<"],
+    r"(?U)\[[\w-]+\s*—[^\]]*\]": ["—"], r"(?mdU)^\s*[|].*[|]\s*$": ["|"], r"[{]#[^}]+[}]": ["{#"], r"(?mdU)^#{1,6}\s+": ["#"],
+    r"\*\*{0,2}([^\n]*?)\*\*{0,2}": ["*"], r"(?mdU)^\s*[_*-]{3,}\s*$": ["-", "*", "_"], r"\[([^\]]{1,})\][(][^)]{1,}[)]": ["]("], "\n{3,}": ["\n\n\n"],
+    r"\[[^\n]*?—[^\n]*?\]": ["—"],
+}
+
+
+def _step(pattern: str, replacement: str) -> Callable[[Column], Column]:
+    def run(text: Column) -> Column:
+        replaced = F.regexp_replace(text, pattern, replacement)
+        if pattern not in _NEEDED:
+            return replaced
+        return F.when(reduce(or_, [F.contains(text, F.lit(x)) for x in _NEEDED[pattern]]), replaced).otherwise(text)
+
+    return run
+
+
 def _chain(text: Column, steps: list[tuple[str, str]]) -> Column:
-    return strip(reduce(lambda c, step: F.regexp_replace(c, step[0], step[1]), steps, text))
+    # a step names its input several times, so it is bound as the element of an array and computed once
+    bound = reduce(lambda c, step: F.transform(c, _step(*step)), steps, F.array(text))
+    return strip(F.get(bound, F.lit(0)))
 
 
 def strip_markdown(text: Column) -> Column:
