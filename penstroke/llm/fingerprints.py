@@ -27,7 +27,7 @@ SEED = 0x5EED
 #: Words whose draws a worker keeps, at 12 bytes a sample.
 KEPT_WORDS = 1 << 16
 #: Draws made or compared at once.
-_BLOCK = 1 << 14
+_BLOCK = 1 << 11
 
 
 def _uniform(hashes: np.ndarray, samples: int, stream: int) -> np.ndarray:
