@@ -6,8 +6,12 @@ smoothed by a Gaussian over neighbouring nodes, scaled to their maximum and fuse
 fused value reaches the threshold (``SPREAD`` standard deviations of the page's path values) is content, and all its
 nodes are kept (after Wu, Li, Hu and Wu, Web news extraction via path ratios, CIKM 2013). One pass, no shuffle.
 
+Paths are numbers in a trie, and tags are read by a scanner that never reads a stretch again, so a page of any shape
+takes time and memory in proportion to its length.
+
 Defined cases: a null page has a null text; an empty page, or one without text nodes, an empty text; tags that are
-never closed are closed by their parents or by the next block; script, style, template, noscript, title and comments
+never closed are closed by their parents or by the next block; what no ``>`` follows is text; a quote that is never
+closed does not hide the ``>`` behind it; a character number of 4000 digits or more is U+FFFD; script, style, template, noscript, title and comments
 are no text; a single path is always content; rows are neither merged nor dropped; further columns are ignored,
 whatever their names.
 """
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +34,12 @@ REACH = 2
 WIDTH = 0.6
 SPREAD = 0.75
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|title|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^'\">]+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)[^>]*>|<[!?][^>]*>",
-    re.S | re.I,
-)
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_HIDDEN = re.compile(r"<(script|style|template|noscript|title|svg)\b", re.I)
+_END = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "template", "noscript", "title", "svg")}
+_STOP = re.compile("['\">]")
+#: More digits than a number may have to be read; no such number is a character.
+_LONG = re.compile("&#[0-9]{4000,};?")
 _MARKS = re.compile(r"[.,;:!?…。，；：！？、()\"“”«»]")
 _SPACE = re.compile(r"\s+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,47 +54,135 @@ _CLOSES = {
 _P = ({"p"}, {"article", "aside", "blockquote", "body", "div", "dd", "footer", "header", "li", "main", "nav", "section", "td", "th"})
 
 
-def nodes(page: str) -> list[tuple[str, str, bool]]:
-    """Text nodes in order: tag path, text with single spaces, and whether a block or line begins before it."""
-    stack: list[str] = []
-    found: list[tuple[str, str, bool]] = []
+class _Tags:
+    """Where tags of a page end. A quoted value may hold ``>``; where a quote is never closed the next ``>`` ends the tag.
+
+    Positions of opening quotes from which no end was found are kept, so that every quote is followed once however many
+    tags stand before it, and a page takes time in proportion to its length.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = page.rfind(">")
+        self.lost: set[int] = set()
+
+    def end(self, at: int) -> tuple[int, bool]:
+        """Place of the ``>`` that ends the tag whose name ends at ``at``, and whether its quotes are closed."""
+        page, pos, opened = self.page, at, []
+        while (stop := _STOP.search(page, pos)) is not None:
+            place = stop.start()
+            if page[place] == ">":
+                return place, True
+            if place in self.lost:
+                break
+            opened.append(place)
+            pos = page.find(page[place], place + 1) + 1
+            if not pos:
+                break
+        self.lost.update(opened)
+        return page.find(">", at), False
+
+
+class _Open:
+    """The open elements, with the number of their tag path: paths are nodes of a trie, never strings."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.paths = [0]
+        self.children: dict[tuple[int, str], int] = {}
+        self.at: dict[str, list[int]] = {}
+
+    def push(self, name: str) -> None:
+        key = (self.paths[-1], name)
+        self.paths.append(self.children.setdefault(key, len(self.children) + 1))
+        self.at.setdefault(name, []).append(len(self.names))
+        self.names.append(name)
+
+    def cut(self, depth: int) -> None:
+        """Close all elements from ``depth`` on."""
+        while len(self.names) > depth:
+            self.at[self.names.pop()].pop()
+            self.paths.pop()
+
+    def close(self, name: str) -> None:
+        if self.at.get(name):
+            self.cut(self.at[name][-1])
+
+    def close_before(self, closed: set[str], within: set[str]) -> None:
+        """Close the open elements of ``closed`` above the innermost one of ``within``."""
+        border = max((at[-1] for n in within if (at := self.at.get(n))), default=-1)
+        first = [at[i] for n in closed if (at := self.at.get(n)) and (i := bisect_right(at, border)) < len(at)]
+        if first:
+            self.cut(min(first))
+
+
+def scan(page: str) -> tuple[list[tuple[int, str, bool]], dict[tuple[int, str], int]]:
+    """Text nodes in order: number of the tag path, text with single spaces, and whether a block or line begins before
+    it; and the paths, as (number of the parent, tag) to number."""
+    tags, stack = _Tags(page), _Open()
+    found: list[tuple[int, str, bool]] = []
     fresh = True
-    last = 0
+    last = at = 0
 
-    def text(chunk: str) -> None:
+    def text(upto: int) -> None:
         nonlocal fresh
-        value = _SPACE.sub(" ", html.unescape(chunk) if "&" in chunk else chunk)
+        if upto <= last:
+            return
+        chunk = page[last:upto]
+        value = _SPACE.sub(" ", html.unescape(_LONG.sub("\ufffd", chunk)) if "&" in chunk else chunk)
         if value.strip():
-            found.append(("/".join(stack), value, fresh))
+            found.append((stack.paths[-1], value, fresh))
             fresh = False
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > last:
-            text(page[last : m.start()])
-        last = m.end()
-        name = m[3] or m[6]
-        if name is None:
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            text(at)
+            end = page.find("-->", at + 4)
+            last = at = end + 3 if end >= 0 else len(page)
+            continue
+        if at > tags.last:
+            # no tag ends after here, but a comment may begin
+            if (at := page.find("<!--", at)) < 0:
+                break
+            continue
+        if page.startswith(("<!", "<?"), at):
+            text(at)
+            last = at = page.find(">", at) + 1
             continue
-        name = name.lower()
+        tag = _NAME.match(page, at)
+        if tag is None:
+            at += 1
+            continue
+        if hidden := _HIDDEN.match(page, at):
+            text(at)
+            close = _END[hidden[1].lower()].search(page, page.find(">", at) + 1)
+            last = at = close.end() if close else len(page)
+            continue
+        text(at)
+        end, closed = tags.end(tag.end())
+        name = tag[2].lower()
         if name in _BLOCK or name == "br":
             fresh = True
-        if m[2] or m[5]:
-            if name in stack:
-                while stack.pop() != name:
-                    pass
+        if tag[1]:
+            stack.close(name)
         elif name not in _VOID:
             rule = _CLOSES.get(name) or (_P if name in _BLOCK else None)
             if rule:
-                for at in range(len(stack) - 1, -1, -1):
-                    if stack[at] in rule[0]:
-                        del stack[at:]
-                    elif stack[at] in rule[1]:
-                        break
-            if not (m[4] or "").endswith("/"):
-                stack.append(name)
-    if last < len(page):
-        text(page[last:])
-    return found
+                stack.close_before(*rule)
+            if not (closed and page[end - 1] == "/"):
+                stack.push(name)
+        last = at = end + 1
+    text(len(page))
+    return found, stack.children
+
+
+def nodes(page: str) -> list[tuple[str, str, bool]]:
+    """Text nodes as of ``scan``, with their tag paths written out; a deep page's paths are long."""
+    found, children = scan(page)
+    names = {0: ""}
+    for (parent, name), number in children.items():
+        names[number] = f"{names[parent]}/{name}" if parent else name
+    return [(names[path], value, fresh) for path, value, fresh in found]
 
 
 def _smooth(values: np.ndarray) -> np.ndarray:
@@ -98,10 +192,9 @@ def _smooth(values: np.ndarray) -> np.ndarray:
     return np.convolve(values, kernel)[REACH : REACH + len(values)] / weight
 
 
-def content_paths(paths: list[str], lengths: list[int], marks: list[int]) -> set[str]:
-    """Paths whose fused ratio reaches the threshold."""
-    names = sorted(set(paths))
-    code = np.searchsorted(names, paths)
+def content_paths(paths: list, lengths: list[int], marks: list[int]) -> set:
+    """Paths (numbers or names) whose fused ratio reaches the threshold."""
+    names, code = np.unique(paths, return_inverse=True)
     n = np.bincount(code)
     fused = np.ones(len(paths))
     for values in (lengths, marks):
@@ -110,14 +203,14 @@ def content_paths(paths: list[str], lengths: list[int], marks: list[int]) -> set
         fused *= smooth / max(smooth.max(), 1e-12)
     score = np.bincount(code, np.sqrt(fused)) / n
     limit = min(SPREAD * score.std(), score.max())
-    return {name for name, s in zip(names, score) if s >= limit}
+    return set(names[score >= limit].tolist())
 
 
 def extract(page: str | None) -> str | None:
     """The page's content text, one line a block."""
     if page is None:
         return None
-    found = nodes(page)
+    found, _ = scan(page)
     if not found:
         return ""
     lengths = [len(t.strip()) for _, t, _ in found]

@@ -1,4 +1,10 @@
+import random
+import re
+import time
+import tracemalloc
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from penstroke.llm import html_extract as H
@@ -49,6 +55,46 @@ def test_tags_left_open_or_closed_twice():
     assert H.nodes("<p class='a>b'>x < y</p>")[0][0] == "p"
 
 
+BROKEN = ["<div>x", "<a ", "<a href='x ", "<b></i>", "<pre>", "<p><b>", "<script ", "</script ", "<!-- ", "<a '>", "<a \"'>", "<b><tr>", "&#99999", "<", "<a '\"> <x \">"]
+
+
+@pytest.mark.parametrize("unit", BROKEN)
+def test_broken_pages_take_time_and_memory_in_proportion(unit):
+    """Of 30 to 120 KB of these, a reader by expression and path strings needed 3 to 41 s and up to 13 GB."""
+    page = unit * (1_000_000 // len(unit))
+    began = time.process_time()
+    H.extract(page)
+    assert time.process_time() - began < 30
+    tracemalloc.start()
+    H.extract(page[:200_000])
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 150 << 20
+
+
+def test_scanner_reads_like_an_expression():
+    """The tag grammar as one expression, which is quadratic on broken pages, over random pieces of pages."""
+    token = re.compile(
+        r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|title|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+        r"|<(?:/?)(?:[a-zA-Z][a-zA-Z0-9:-]*)(?:(?>[^'\">]+|\"[^\"]*\"|'[^']*')*+)>|<(?:/?)(?:[a-zA-Z][a-zA-Z0-9:-]*)[^>]*>|<[!?][^>]*>",
+        re.S | re.I,
+    )
+    pieces = ["<div>", "</div>", "<p>", "</p>", "<b", "'", '"', ">", "<", "x y", "<!--", "-->", "<script>", "</script>", "<li>", "<br/>", "<td a='", "/>", '<a href="x">', "</a>", "<?x", "<!d", " "]
+    rng = random.Random(1)
+    for _ in range(5000):
+        page = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 25)))
+        want, last = [], 0
+        for m in [*token.finditer(page), None]:
+            chunk = page[last : m.start() if m else len(page)]
+            want += [re.sub(r"\s+", " ", chunk)] if chunk.strip() else []
+            last = m.end() if m else last
+        assert [t for _, t, _ in H.nodes(page)] == want, page
+
+
+def test_numbers_that_are_no_character():
+    assert H.extract("a &#" + "9" * 5000 + "; b &#65; &#x110000;") == "a \ufffd b A \ufffd"
+
+
 def test_defined_cases(spark):
     long = "<div><p>" + "Words, and more words. " * 60_000 + "</p></div>"
     rows = [(1, None), (2, ""), (3, "<p></p>"), (4, "plain text"), (5, PAGE), (5, PAGE), (6, long), (None, "<p>x, y.</p>"), (7, "<<<>>> & < a")]
