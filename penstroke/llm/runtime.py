@@ -6,7 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 
 _folders: dict[str, str] = {}
+_tables: dict[str, SparkSession] = {}
 
 
 def _remove(path, configuration) -> None:
@@ -24,20 +26,30 @@ def _remove(path, configuration) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder of this driver's that every executor can reach, below ``spark.checkpoint.dir``, or a private one where that
-    is unset. It goes when the driver ends."""
+    """A folder of this driver's that every executor can reach, below ``spark.checkpoint.dir``; it goes when the driver ends.
+
+    Where that is unset, a local session gets a private folder; on a cluster it is an error, since executors would write
+    to their own disks.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or ""
     if named not in _folders:
         if named:
             _folders[named] = f"{named.rstrip('/')}/penstroke-{uuid.uuid4().hex}"
             atexit.register(_remove, spark._jvm.org.apache.hadoop.fs.Path(_folders[named]), spark._jsc.hadoopConfiguration())
-        else:
+        elif is_local(spark.sparkContext.master):
             own = tempfile.mkdtemp(prefix="penstroke-")
             atexit.register(shutil.rmtree, own, True)
             _folders[named] = "file://" + own
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share; intermediate tables are written there")
     return _folders[named]
 
 
+def is_local(master: str) -> bool:
+    """Whether executors run within the driver."""
+    return master == "local" or master.startswith("local[")
+
+
 def materialise(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 
@@ -45,7 +57,30 @@ def materialise(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     (df.coalesce(partitions) if partitions else df).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _tables[path] = df.sparkSession
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept._penstroke_path = path
+    return kept
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``materialise`` that nothing will read again."""
+    for df in tables:
+        _discard(getattr(df, "_penstroke_path", ""))
+
+
+def _discard(path: str) -> None:
+    if spark := _tables.pop(path, None):
+        _remove(spark._jvm.org.apache.hadoop.fs.Path(path), spark._jsc.hadoopConfiguration())
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], None]]:
+    """Tables made within are removed at the end, but for those handed to the function that this gives."""
+    before, kept = set(_tables), set()
+    yield lambda df: kept.add(getattr(df, "_penstroke_path", ""))
+    for path in set(_tables) - before - kept:
+        _discard(path)
 
 
 def sized_hint(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
