@@ -95,4 +95,4 @@ def test_empty_tables(spark, tmp_path):
 
 
 def test_radius_is_shared():
-    assert simhash.RADIUS < 2 * simhash.SEGMENTS
+    assert simhash.plan(1000).radius == simhash.RADIUS

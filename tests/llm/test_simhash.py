@@ -43,6 +43,15 @@ def corpus(n=150):
     return rows + [(5000, ""), (5001, None), (5002, " \n\t"), (5003, "Same Words here."), (5004, "here same words"), (None, rows[0][1]), rows[3], rows[3]]
 
 
+def links(rows):
+    """Number of other fingerprints within the radius of each id's own, from all pairs."""
+    rows = sorted({(d, t) for d, t in rows if d is not None and t is not None})
+    high, low, known = S.fingerprint(pa.array([t for _, t in rows]))
+    prints = {r[0]: (int(h), int(x)) for r, h, x, k in zip(rows, high, low, known) if k}
+    every = set(prints.values())
+    return {d: sum(q != p and (q[0] ^ p[0]).bit_count() + (q[1] ^ p[1]).bit_count() <= S.RADIUS for q in every) for d, p in prints.items()}
+
+
 def found(df):
     out = df.collect()
     assert len(out) == len({r.doc_id for r in out})
@@ -55,7 +64,10 @@ def test_groups_equal_those_of_all_pairs(make_docs, monkeypatch, cell_rows):
     rows = corpus()
     want = groups(rows)
     assert len(want) > 50 and want[5004] == 5003
-    assert found(S.near_duplicates(make_docs(rows))) == want
+    got = S.near_duplicates(make_docs(rows))
+    assert found(got) == want
+    number = links(rows)
+    assert {r.doc_id: r.n_links for r in got.collect()} == {d: number[d] for d in want}
 
 
 def test_one_large_group_and_one_large_cell(make_docs):
@@ -65,6 +77,55 @@ def test_one_large_group_and_one_large_cell(make_docs):
     assert found(S.near_duplicates(make_docs(rows))) == {i: 0 for i in range(1, 700)}
 
 
+@pytest.mark.parametrize("segments, cell_rows", [(11, 40), (8, 60), (6, 50), (5, 100), (4, 500)])
+def test_every_number_of_segments_finds_the_same(make_docs, monkeypatch, segments, cell_rows):
+    monkeypatch.setattr(S, "plan", lambda rows, radius=S.RADIUS: S.Plan(segments, radius if segments > 5 else 11))
+    monkeypatch.setattr(S, "RADIUS", S.RADIUS if segments > 5 else 11)
+    monkeypatch.setattr(S, "CELL_ROWS", cell_rows)
+    monkeypatch.setattr(S, "_DIRECT", 14)
+    rows = corpus(60)
+    assert found(S.near_duplicates(make_docs(rows))) == groups(rows)
+
+
+def test_work_is_as_planned_and_far_from_quadratic():
+    """Lookups and comparisons that a search does, counted, against the plan; and the plan's growth over seven decades.
+
+    Multi-index hashing can't be linear for a radius that is a large share of the bits; a smaller one comes near it.
+    """
+    rng = np.random.default_rng(1)
+
+    def work(n, radius):
+        plan = S.plan(n, radius)
+        records = np.zeros(n, S._RECORD)
+        records["id"], records["high"], records["low"] = np.arange(n), *rng.integers(0, 1 << 64, (2, n), np.uint64)
+        cells = [S.Cell(plan, i, 0, records, records[:0]) for i in range(plan.segments)]
+        return sum(c.compared + c.looked_up for c in cells)
+
+    for radius, power in ((7, 1.3), (11, 1.4), (21, 1.65)):
+        for n in (4_000, 40_000):
+            assert work(n, radius) < 1.1 * n * S.plan(n, radius).work(n)
+        small, large = (n * S.plan(n, radius).work(n) for n in (4e3, 5e10))
+        assert np.log(large / small) / np.log(5e10 / 4e3) < power
+    assert np.log(work(40_000, 7) / work(4_000, 7)) / np.log(10) < 1.2
+
+
+def test_a_hot_fingerprint_and_a_hub_of_near_copies(make_docs):
+    """A third of all rows under one fingerprint, and a third within the radius of one text."""
+    rng = random.Random(9)
+    base = words(rng, 150)
+    rows = [(i, "one text that very many rows have") for i in range(2000)]
+    rows += [(5000 + i, " ".join(base[:148] + [f"v{i}", f"u{i}"])) for i in range(2000)]
+    rows += [(9000 + i, " ".join(words(rng, 80))) for i in range(500)]
+    out = found(S.near_duplicates(make_docs(rows)))
+    assert out == {**dict.fromkeys(range(1, 2000), 0), **dict.fromkeys(range(5001, 7000), 5000)}
+
+
+def test_rows_of_one_id_are_one_document(make_docs):
+    rows = [(1, "a b c d"), (2, "a b c d"), (2, "something else altogether here"), (3, "something else altogether here")]
+    out = found(S.near_duplicates(make_docs(rows)))
+    assert out in ({2: 1}, {3: 2})
+
+
 def test_deduplicate_keeps_one_row_a_group_and_every_row_without_a_word(make_docs):
     rows = corpus(40)
     gone = set(groups(rows))
