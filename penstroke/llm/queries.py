@@ -26,7 +26,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest neighbours of every embedding."""
+    """The ten nearest neighbours, among all embeddings, of those whose id is divisible by 50."""
     return topk.nearest(table(spark, sf_dir, "embeddings"))
 
 
