@@ -3,16 +3,21 @@
 Every text is cut into non-overlapping reference blocks of ``ANCHOR`` words, whose hashes form the index. The hash of
 every window of ``ANCHOR`` words, at every word position of every text, probes it. A block that occurs at two places
 or more is live. Since a repeat of ``MIN_WORDS`` = 2 * ``ANCHOR`` words holds a whole reference block, hits mark every
-such repeat; around them windows of ``MIN_WORDS`` words are compared by 64-bit hash, and runs of equal windows joined,
+such repeat; around them windows of ``MIN_WORDS`` words are compared by 128-bit hash, and runs of equal windows joined,
 which extends each hit to its maximal exact repeat. No text pair is formed, so a passage that n texts share costs n
 records. The first occurrence, by (doc_id, position), stays; every other one is reported.
 
-Index and probes meet in one shuffle of four hash bytes and a delta-coded document id a window.
+Hot passages don't meet in one task. A window that occurs again within the ``PACK_BYTES`` of text read together is live
+there without asking, and is sent to the index once. Of equal long windows a task sends its first one only, and the first
+of all comes back to each task that asked, where it meets the task's other occurrences. So a hash has at most one record
+a pack, or a task, of text, however many texts hold it. The number of partitions follows the bytes of text.
+
+Index and probes meet in one shuffle of five hash bytes and a delta-coded document id a window.
 
 Defined cases: null, empty and short texts (under ``MIN_WORDS`` words) have no repeats; rows without an id are not
-searched; words are runs without white space, compared exactly; within one text an occurrence counts only if it does
-not overlap the first; rows with one id are one document, so a repeated row is no repeat of itself; an empty table
-gives an empty result; further columns are carried or ignored, whatever their names.
+searched; words are runs without white space, compared exactly as written, by 64-bit hash; within one text an occurrence
+counts only if it does not overlap the first; rows with one id are one document, so a repeated row is no repeat of itself;
+an empty table gives an empty result; further columns are carried or ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,17 +27,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .runtime import materialise, shuffle_partitions, sized_hint, unused
-from .text import Words, rolling, slices
+from .runtime import BROADCAST_BYTES, discard, materialise, shuffle_partitions, unused
+from .text import Words, mix64, rolling, slices
 
 ANCHOR = 25
 MIN_WORDS = 2 * ANCHOR
 #: Text bytes whose windows go into one packed record a partition.
 PACK_BYTES = 8 << 20
+#: Text bytes a partition, about.
+PART_BYTES = 16 << 20
 
 _PACKED = "part int, block boolean, payload binary"
 
@@ -77,7 +85,7 @@ def _by_part(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
         yield p, order[edges[p] : edges[p + 1]]
 
 
-def _batch(rows: list[tuple[int, bool, bytes]]) -> pa.RecordBatch:
+def _batch(rows: list[tuple[int, bool | None, bytes]]) -> pa.RecordBatch:
     part, block, payload = zip(*rows) if rows else ((), (), ())
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(block, pa.bool_()), pa.array(payload, pa.binary())], ["part", "block", "payload"])
 
@@ -97,8 +105,17 @@ def _sorted_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield part.take(pa.array(order))
 
 
+#: Hash bits that tell anchors of one partition apart.
+_LOW = np.uint64((1 << 40) - 1)
+
+
+def _anchor(hashes: np.ndarray, parts: int) -> np.ndarray:
+    return (_part(hashes, parts).astype(np.int64) << 40) | (hashes & _LOW).astype(np.int64)
+
+
 def _probe(parts: int):
-    """Hashes of reference blocks and of all other windows, packed by partition of the hash space."""
+    """Hashes of reference blocks and of all other windows, packed by partition of the hash space; and, with no ``block``,
+    the live windows of documents in which, or in whose neighbours, they occur again."""
 
     def emit(held: list) -> pa.RecordBatch:
         sizes = [len(h[0]) for h in held]
@@ -106,16 +123,33 @@ def _probe(parts: int):
         by_id = np.argsort(ids, kind="stable")
         rank = np.empty(len(ids), np.uint64)
         rank[by_id] = np.arange(len(ids), dtype=np.uint64)
-        # one key a window: partition, block or not, place of its document among the sorted ids
-        first = np.cumsum([0, *sizes])
-        key = np.concatenate([h[1] | rank[h[2] + at] for h, at in zip(held, first)])
-        low = np.concatenate([h[3] for h in held])
+        ids = ids[by_id]
+        hashes = np.concatenate([h[1] for h in held])
+        inner = np.concatenate([h[2] for h in held])
+        owner = np.concatenate([rank[h[3] + at] for h, at in zip(held, np.cumsum([0, *sizes]))])
         held.clear()
-        order = np.argsort(key, kind="stable")
-        key, low, ids = key[order], low[order], ids[by_id]
+        order = np.argsort(hashes)
+        hashes, inner, owner = hashes[order], inner[order], owner[order]
+        first = np.flatnonzero(np.diff(hashes, prepend=hashes[:1] + np.uint64(1))) if len(hashes) else np.zeros(0, np.int64)
+        times = np.diff(np.append(first, len(hashes)))
+        rows = []
+        again = np.repeat(times > 1, times)
+        if again.any():
+            doc = owner[again].astype(np.int64)
+            sort = np.argsort(doc, kind="stable")
+            rows.append((int(_part(mix64(ids[:1].view(np.uint64)), parts)[0]), None, _pack(ids[doc[sort]], _anchor(hashes[again], parts)[sort].view(np.uint64))))
+        # one record a hash: a block if any of its places is one
+        if len(first):
+            inner = np.logical_and.reduceat(inner, first)
+            hashes, owner = hashes[first], owner[first]
+        key = (_part(hashes, parts).astype(np.uint64) << np.uint64(33)) | (inner.astype(np.uint64) << np.uint64(32)) | owner
+        order = np.argsort(key)
+        key, hashes = key[order], hashes[order]
         group = (key >> np.uint64(32)).astype(np.int64)
         edges = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
-        rows = [(int(group[x]) >> 1, group[x] & 1 == 0, _pack(ids[(key[x:y] & np.uint64(0xFFFFFFFF)).astype(np.int64)], low[x:y])) for x, y in zip(edges[:-1], edges[1:])]
+        for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            low = hashes[x:y] & _LOW
+            rows.append((int(group[x]) >> 1, group[x] & 1 == 0, _pack(ids[(key[x:y] & np.uint64(0xFFFFFFFF)).astype(np.int64)], low.astype(np.uint32), (low >> np.uint64(32)).astype(np.uint8))))
         return _batch(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,8 +158,7 @@ def _probe(parts: int):
         for part in _sorted_slices(batches):
             words, ids, at, hashes = _windows(part, ANCHOR)
             row = words.row[at]
-            inner = ((at - words.starts[row]) % ANCHOR != 0).astype(np.uint64)
-            held.append((ids, (_part(hashes, parts).astype(np.uint64) << np.uint64(33)) | (inner << np.uint64(32)), row, hashes.astype(np.uint32)))
+            held.append((ids, hashes, (at - words.starts[row]) % ANCHOR != 0, row))
             size += part.column("text").nbytes
             if size >= PACK_BYTES:
                 yield emit(held)
@@ -137,15 +170,21 @@ def _probe(parts: int):
 
 
 def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every occurrence ``doc_id, anchor`` of a hash that is a reference block and occurs twice or more."""
+    """Every occurrence ``doc_id, anchor`` of a hash that is a reference block and occurs twice or more, and those that
+    were found live where they were read."""
     found: dict[int, tuple[list, list]] = {}
     for batch in batches:
         for part, block, payload in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "payload"))):
-            found.setdefault(part, ([], []))[0 if block else 1].append(payload)
+            if block is None:
+                ids, anchor = _unpack(payload, np.int64, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(anchor.view(np.int64))], ["doc_id", "anchor"])
+            else:
+                found.setdefault(part, ([], []))[0 if block else 1].append(payload)
     for part in sorted(found):
         blocks, others = found.pop(part)
-        b_ids, b_hash = _unpack_all(blocks, np.int64, np.uint32)
-        o_ids, o_hash = _unpack_all(others, np.int64, np.uint32)
+        b_ids, *b_hash = _unpack_all(blocks, np.int64, np.uint32, np.uint8)
+        o_ids, *o_hash = _unpack_all(others, np.int64, np.uint32, np.uint8)
+        b_hash, o_hash = (x[0].astype(np.int64) | (x[1].astype(np.int64) << 32) for x in (b_hash, o_hash))
         index, count = np.unique(b_hash, return_counts=True)
         if not len(index):
             continue
@@ -157,28 +196,39 @@ def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = np.concatenate([b_ids, o_ids])
         slot = np.concatenate([own, slot])
         alive = count[slot] > 1
-        anchor = (np.int64(part) << np.int64(32)) + index[slot[alive]].astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[alive]), pa.array(anchor)], ["doc_id", "anchor"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[alive]), pa.array((np.int64(part) << np.int64(40)) | index[slot[alive]])], ["doc_id", "anchor"])
 
 
 def _extend(parts: int):
-    """Hash and place of every window of ``MIN_WORDS`` words that holds a live anchor window, packed by hash."""
-
-    def emit(held: list) -> pa.RecordBatch:
-        ids, hashes, start = (np.concatenate(x) for x in zip(*held))
-        order = np.argsort(ids, kind="stable")
-        ids, hashes, start = ids[order], hashes[order], start[order]
-        return _batch([(p, False, _pack(ids[w], hashes[w], start[w])) for p, w in _by_part(_part(hashes, parts), parts)])
+    """Every window of ``MIN_WORDS`` words that holds a live anchor window, packed for this task's own partition
+    (``block``), and the first of equal ones, packed by hash with the number of the task that asks."""
+
+    def emit(held: list, task: int) -> pa.RecordBatch:
+        ids, one, two, start = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((start, ids))
+        ids, one, two, start = ids[order], one[order], two[order], start[order]
+        rows = [(task, True, _pack(ids, start, one, two))]
+        order = np.argsort(one, kind="stable")
+        if np.any((np.diff(one[order]) == 0) & (np.diff(two[order]) != 0)):
+            order = np.lexsort((two, one))
+        ids, one, two, start = ids[order], one[order], two[order], start[order]
+        first = np.flatnonzero(np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]))))
+        other = np.concatenate(([False], (ids[1:] != ids[:-1]) | (start[1:] != start[:-1])))
+        other[first] = False
+        many = np.add.reduceat(other.astype(np.uint8), first, dtype=np.int64) > 0
+        rows += [(p, False, _pack(ids[first[w]], start[first[w]], one[first[w]], two[first[w]], np.full(len(w), task, np.int32), many[w].astype(np.uint8))) for p, w in _by_part(_part(one[first], parts), parts)]
+        return _batch(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+        task = TaskContext.get().partitionId()
         for part in _sorted_slices(batches):
             words, ids, at, hashes = _windows(part, ANCHOR)
             anchors = part.column("anchors")
             owner = np.repeat(np.arange(len(anchors)), np.diff(np.asarray(anchors.offsets)))
             mine = np.asarray(anchors.flatten())
             # a window is live when its (row, anchor) is among the row's live anchors
-            key = (_part(hashes, parts).astype(np.int64) << 32) + hashes.astype(np.uint32).astype(np.int64)
+            key = _anchor(hashes, parts)
             slot_of, coded = np.unique(mine, return_inverse=True)
             slot = np.minimum(np.searchsorted(slot_of, key), max(len(slot_of) - 1, 0))
             known = slot_of[slot] == key if len(slot_of) else np.zeros(len(key), bool)
@@ -193,21 +243,24 @@ def _extend(parts: int):
             edge = np.bincount(first[ok], minlength=len(words.code) + 2)[: len(words.code) + 2] - np.bincount(last[ok] + 1, minlength=len(words.code) + 2)[: len(words.code) + 2]
             start = np.flatnonzero(np.cumsum(edge) > 0)
             if len(start):
-                row = words.row[start]
-                long = rolling(words.hashes(), MIN_WORDS)
-                held.append((ids[row], long[start], (start - words.starts[row]).astype(np.int32)))
+                row, hashes = words.row[start], words.hashes()
+                long, other = rolling(hashes, MIN_WORDS), rolling(mix64(hashes ^ np.uint64(0x6C62272E07BB0142)), MIN_WORDS)
+                held.append((ids[row], long[start], other[start], (start - words.starts[row]).astype(np.int32)))
                 size += len(start)
             if size >= 1 << 21:
-                yield emit(held)
+                yield emit(held, task)
                 held, size = [], 0
         if held:
-            yield emit(held)
+            yield emit(held, task)
 
     return run
 
 
-def _later(parts: int):
-    """Of each window hash all places but the first, with the first, packed by document."""
+_FIRST = [np.uint64, np.uint64, np.int64, np.int32]
+
+
+def _first(parts: int):
+    """The first place of each window that occurs again, for every task that asked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, list] = {}
@@ -215,16 +268,18 @@ def _later(parts: int):
             for part, payload in zip(batch.column("part").to_pylist(), batch.column("payload").to_pylist()):
                 found.setdefault(part, []).append(payload)
         for part in sorted(found):
-            ids, hashes, start = _unpack_all(found.pop(part), np.int64, np.uint64, np.int32)
-            order = np.lexsort((start, ids, hashes))
-            ids, hashes, start = ids[order], hashes[order], start[order]
-            new = np.concatenate(([True], hashes[1:] != hashes[:-1]))
-            first = np.flatnonzero(new)[np.cumsum(new) - 1]
-            later = np.flatnonzero((ids != ids[first]) | (start - start[first] >= MIN_WORDS))
-            later = later[np.lexsort((start[later], ids[later]))]
-            first = first[later]
-            to = _part(np.uint64(0x9E3779B97F4A7C15) * ids[later].view(np.uint64), parts)
-            rows = [(p, False, _pack(ids[later[w]], start[later[w]], ids[first[w]], start[first[w]])) for p, w in _by_part(to, parts)]
+            ids, start, one, two, task, many = _unpack_all(found.pop(part), np.int64, np.int32, np.uint64, np.uint64, np.int32, np.uint8)
+            order = np.lexsort((start, ids, two, one))
+            ids, start, one, two, task, many = (x[order] for x in (ids, start, one, two, task, many))
+            new = np.flatnonzero(np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]))))
+            size = np.diff(np.append(new, len(one)))
+            # the same place twice, of a repeated row, is one
+            other = np.concatenate(([False], (ids[1:] != ids[:-1]) | (start[1:] != start[:-1])))
+            other[new] = False
+            again = np.repeat((np.add.reduceat(other.astype(np.int64), new) > 0) | (np.add.reduceat(many.astype(np.int64), new) > 0), size)
+            first = np.repeat(new, size)
+            some = np.flatnonzero(again)
+            rows = [(p, False, _pack(one[some[w]], two[some[w]], ids[first[some[w]]], start[first[some[w]]])) for p, w in _by_part(task[some], parts)]
             if rows:
                 yield _batch(rows)
 
@@ -233,16 +288,31 @@ def _later(parts: int):
 
 def _join_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Maximal repeats: runs of windows whose distance to the first occurrence is the same."""
-    found: dict[int, list] = {}
+    found: dict[int, tuple[list, list]] = {}
     for batch in batches:
-        for part, payload in zip(batch.column("part").to_pylist(), batch.column("payload").to_pylist()):
-            found.setdefault(part, []).append(payload)
+        for part, own, payload in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "payload"))):
+            found.setdefault(part, ([], []))[0 if own else 1].append(payload)
     for part in sorted(found):
-        ids, start, first_id, first_start = _unpack_all(found.pop(part), np.int64, np.int32, np.int64, np.int32)
+        own, firsts = found.pop(part)
+        ids, start, one, two = _unpack_all(own, np.int64, np.int32, np.uint64, np.uint64)
+        f_one, f_two, f_id, f_start = _unpack_all(firsts, *_FIRST)
+        del own, firsts
+        if not len(f_one):
+            continue
+        order = np.lexsort((f_two, f_one))
+        f_one, f_two, f_id, f_start = (x[order] for x in (f_one, f_two, f_id, f_start))
+        slot, last = np.searchsorted(f_one, one), np.searchsorted(f_one, one, side="right") - 1
+        while len(behind := np.flatnonzero((slot < last) & (f_two[np.minimum(slot, len(f_two) - 1)] != two))):
+            slot[behind] += 1
+        known = np.flatnonzero(slot <= last)
+        known = known[f_two[slot[known]] == two[known]]
+        ids, start, first_id, first_start = ids[known], start[known], f_id[slot[known]], f_start[slot[known]]
+        later = (ids != first_id) | (start - first_start >= MIN_WORDS)
+        ids, start, first_id, first_start = ids[later], start[later], first_id[later], first_start[later]
         shift = first_start - start
         order = np.lexsort((start, shift, first_id, ids))
         ids, start, first_id, shift = ids[order], start[order], first_id[order], shift[order]
-        repeated = np.concatenate(([False], (ids[1:] == ids[:-1]) & (first_id[1:] == first_id[:-1]) & (shift[1:] == shift[:-1]) & (start[1:] == start[:-1])))
+        repeated = np.concatenate(([False], (ids[1:] == ids[:-1]) & (first_id[1:] == first_id[:-1]) & (shift[1:] == shift[:-1]) & (start[1:] == start[:-1])))[: len(ids)]
         ids, start, first_id, shift = (x[~repeated] for x in (ids, start, first_id, shift))
         new = np.concatenate(([True], (ids[1:] != ids[:-1]) | (first_id[1:] != first_id[:-1]) | (shift[1:] != shift[:-1]) | (start[1:] != start[:-1] + 1))) if len(ids) else np.zeros(0, bool)
         at = np.flatnonzero(new)
@@ -254,16 +324,20 @@ def _join_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, start_word, n_words, first_doc_id, first_start_word``: maximal repeats of an earlier occurrence."""
     spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
     texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(shuffle_partitions(spark), -(-size // PART_BYTES))
     packed = texts.mapInArrow(_probe(parts), _PACKED).repartitionById(parts, "part")
     live = materialise(packed.mapInArrow(_live, "doc_id long, anchor long"))
     hits = live.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")).withColumnRenamed("doc_id", "__id")
-    # the hits grow with the text, so both sides shuffle at every size; hashing the hits spares sorting the texts
-    near = texts.join(hits.hint("shuffle_hash"), F.col("doc_id") == F.col("__id")).drop("__id")
-    windows = near.mapInArrow(_extend(parts), _PACKED).repartitionById(parts, "part")
-    later = windows.mapInArrow(_later(parts), _PACKED).repartitionById(parts, "part")
-    return later.mapInArrow(_join_runs, "doc_id long, start_word int, n_words int, first_doc_id long, first_start_word int")
+    # the hits grow with the text, so both sides shuffle at every size, in a fixed number of partitions, by which the
+    # tasks of the next step are known; hashing the hits spares sorting the texts
+    near = texts.repartition(parts, "doc_id").join(hits.repartition(parts, "__id").hint("shuffle_hash"), F.col("doc_id") == F.col("__id")).drop("__id")
+    windows = materialise(near.mapInArrow(_extend(parts), _PACKED))
+    discard(live)
+    first = windows.where("NOT block").repartitionById(parts, "part").mapInArrow(_first(parts), _PACKED)
+    joined = windows.where("block").union(first).repartitionById(parts, "part")
+    return joined.mapInArrow(_join_runs, "doc_id long, start_word int, n_words int, first_doc_id long, first_start_word int")
 
 
 _WORD = re.compile(r"[^ \t\n\r\f\v]+")
@@ -298,7 +372,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     key, found, left = (unused(docs, n) for n in ("__id", "__spans", "__cut"))
     spans = materialise(repeats(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "n_words")).alias(found)).withColumnRenamed("doc_id", key))
-    joined = docs.join(sized_hint(spans, spans.count(), 96), F.col("doc_id") == F.col(key), "left")
+    size = spans.agg(F.sum(64 + 16 * F.size(found))).first()[0] or 0
+    joined = docs.join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, F.col("doc_id") == F.col(key), "left")
     touched = F.col(found).isNotNull() & F.col("text").isNotNull()
     joined = joined.withColumn(left, _cut(F.when(touched, F.col("text")), F.when(touched, F.col(found))))
     joined = joined.where(F.col(left).isNull() | F.col(left).rlike(r"[^ \t\n\r\f\x0B]")).withColumn("text", F.coalesce(left, "text"))

@@ -2,6 +2,9 @@ import random
 from collections import defaultdict
 
 import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
 
 from penstroke.llm import substrings as S
 
@@ -53,6 +56,38 @@ def test_same_words_as_brute_force(make_docs):
     assert covered(S.repeats(make_docs(rows))) == brute(rows)
 
 
+@pytest.mark.parametrize("pack, part", [(2_000, 5_000), (40, 300), (1 << 23, 1 << 24)])
+def test_same_words_whatever_is_read_together(make_docs, monkeypatch, pack, part):
+    monkeypatch.setattr(S, "PACK_BYTES", pack)
+    monkeypatch.setattr(S, "PART_BYTES", part)
+    rows = corpus()
+    assert covered(S.repeats(make_docs(rows).repartition(5))) == brute(rows)
+
+
+def test_a_hot_passage_has_one_record_a_pack_and_a_task():
+    """A passage of 120 words in 3,000 texts read together: its windows go to the index, and to the search for the first
+    place, once each."""
+    rng = random.Random(4)
+    passage = words(rng, 120)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(3000)), "text": [" ".join([f"u{i}", *passage, f"v{i}"]) for i in range(3000)]})
+    sent = [(b, S._unpack(p, np.int64, np.uint32, np.uint8)[0]) for x in S._probe(4)([batch]) for b, p in zip(x.column("block").to_pylist(), x.column("payload").to_pylist()) if b is not None]
+    assert sum(len(ids) for _, ids in sent) <= 96 + 2 * 3000
+    live = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*[(d, a) for x in S._live(S._probe(4)([batch])) for d, a in zip(x.column("doc_id").to_pylist(), x.column("anchor").to_pylist())])], ["doc_id", "anchor"])
+    anchors = {}
+    for d, a in zip(live.column("doc_id").to_pylist(), live.column("anchor").to_pylist()):
+        anchors.setdefault(d, set()).add(a)
+    assert len(anchors) == 3000 and len(anchors[7]) == 96
+
+
+def test_a_passage_in_very_many_texts(spark, make_docs):
+    """200,000 texts with one passage; no task holds its occurrences."""
+    rng = random.Random(5)
+    passage = " ".join(words(rng, 60))
+    docs = spark.range(200_000).selectExpr("id AS doc_id", f"concat('a', id, ' {passage} b', id) AS text").repartition(8)
+    out = S.repeats(docs).selectExpr("count(*) AS n", "min(first_doc_id) AS a", "max(first_doc_id) AS b", "min(n_words) AS w", "max(n_words) AS v", "max(start_word) AS s").first()
+    assert tuple(out) == (199_999, 0, 0, 60, 60, 1)
+
+
 def test_spans_are_equal_and_maximal(make_docs):
     rows = corpus()
     text = {d: t.split() for d, t in rows if d is not None and t is not None}
