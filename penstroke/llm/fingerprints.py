@@ -97,7 +97,9 @@ def signatures(texts: pa.Array, drawn: _Drawn | None = None) -> tuple[np.ndarray
     key = row * len(hashes) + rank[term]
     order = np.argsort(key, kind="stable")
     term, count = (key % len(hashes))[order], count[order]
-    values = drawn.of(hashes)
+    # draws of all words at once where they are few, else block by block
+    few = len(hashes) <= KEPT_WORDS
+    values = drawn.of(hashes) if few else None
     log_weight = np.log(count).astype(np.float32)[:, None]
     texts_at = np.flatnonzero(known)
     at = 0
@@ -112,7 +114,7 @@ def signatures(texts: pa.Array, drawn: _Drawn | None = None) -> tuple[np.ndarray
         level = np.zeros((len(rows), SAMPLES), np.float32)
         for part in range(lo, hi, _BLOCK):
             stop = min(part + _BLOCK, hi)
-            v = values[term[part:stop]]
+            v = values[term[part:stop]] if few else drawn.of(hashes[term[part:stop]])
             t = np.floor(log_weight[part:stop] / v[:, 0] + v[:, 2])
             log_a = v[:, 1] - v[:, 0] * (t + 1 - v[:, 2])
             if len(rows) == 1:
@@ -130,7 +132,8 @@ def signatures(texts: pa.Array, drawn: _Drawn | None = None) -> tuple[np.ndarray
         sample = hashes[term[pick]] ^ mix64(level.astype(np.int64).view(np.uint64) + np.uint64(SEED))
         out[rows] = mix64(sample).astype(np.uint32).view(np.int32)
         at = end
-    drawn.keep(hashes, values, times > 1)
+    if few:
+        drawn.keep(hashes, values, times > 1)
     return out, known
 
 

@@ -10,6 +10,10 @@ from . import fingerprints, html_extract, mixing, packing, quality, sharding, si
 from .runtime import table
 
 
+#: Vocabulary file of op10, unless the session names another in ``spark.penstroke.vocabulary``.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consistent weighted samples of all documents."""
     return fingerprints.weighted_signatures(table(spark, sf_dir, "documents"))
@@ -57,7 +61,7 @@ def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram token counts of all documents."""
-    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), spark.conf.get("spark.penstroke.vocabulary", VOCABULARY))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -7,10 +7,12 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 
 #: Text bytes handled at once by a Python worker; bounds its memory whatever the batch size.
 SLICE_BYTES = 1 << 20
@@ -18,7 +20,11 @@ SLICE_BYTES = 1 << 20
 _RETURNED_BYTES = 4 << 20
 
 
+@cache
 def _return_memory() -> None:
+    """Only in a worker: the driver's process belongs to its user."""
+    if TaskContext.get() is None:
+        return
     libc = ctypes.CDLL(None)
     if hasattr(libc, "mallopt"):  # glibc; M_MMAP_THRESHOLD and M_TRIM_THRESHOLD
         libc.mallopt(-3, _RETURNED_BYTES)
@@ -26,8 +32,6 @@ def _return_memory() -> None:
         pa.set_memory_pool(pa.system_memory_pool())
 
 
-_return_memory()
-
 _MUL = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MUL_INV = np.uint64(pow(int(_MUL), -1, 1 << 64))
 _PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”‘’…–—"
@@ -100,6 +104,7 @@ def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
 
 def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with at most ``limit`` text bytes each (a longer single row stays whole)."""
+    _return_memory()
     if not batch.num_rows:
         return
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), np.int64)

@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame
 
 from .text import Words, slices
 
-VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 ZIPF_SHIFT = 2.7
 #: A byte of the fallback scores this much.
@@ -35,7 +34,7 @@ BYTE_SCORE = -20.0
 KEPT_WORDS = 1 << 18
 
 
-def load_pieces(path: str = VOCABULARY) -> dict[str, float]:
+def load_pieces(path: str) -> dict[str, float]:
     """Pieces of a SentencePiece file with their log probabilities; control, unknown and byte pieces are left out."""
     import sentencepiece
 
@@ -124,6 +123,6 @@ def _rows(pieces: dict[str, float]):
     return run
 
 
-def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """``doc_id, n_tokens`` of every row. The driver reads the vocabulary; executors get its pieces with the task."""
     return docs.select("doc_id", "text").mapInArrow(_rows(load_pieces(vocabulary)), "doc_id long, n_tokens long")

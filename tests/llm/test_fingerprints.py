@@ -76,6 +76,21 @@ def test_defined_cases(make_docs):
     assert P.weighted_signatures(make_docs([])).count() == 0
 
 
+def test_a_text_of_very_many_words_is_drawn_block_by_block(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array([" ".join(f"v{i}" for i in range(200_000)), "a b b"])
+    few = P.signatures(texts)[0]
+    monkeypatch.setattr(P, "KEPT_WORDS", 0)
+    tracemalloc.start()
+    assert (P.signatures(texts)[0] == few).all() and (few[1] == P.signatures(pa.array(["a b b"]))[0][0]).all()
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 100 << 20  # all draws at once take 154 MB
+
+
 def test_batches_do_not_matter(make_docs):
     rng = random.Random(9)
     rows = [(i, " ".join(words(rng, 50, 300))) for i in range(200)]

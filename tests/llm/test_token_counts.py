@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from penstroke.llm import token_counts as C
+from penstroke.llm.queries import VOCABULARY
 
 
 def viterbi(word, pieces):
@@ -22,7 +23,7 @@ def viterbi(word, pieces):
 
 @pytest.fixture(scope="module")
 def pieces():
-    return C.load_pieces()
+    return C.load_pieces(VOCABULARY)
 
 
 def test_shared_prefixes_give_the_scores_of_single_words(pieces):
@@ -36,7 +37,7 @@ def test_counts_by_document(make_docs, pieces):
     rng = random.Random(2)
     vocabulary = ["the", "theory", "of", "naïve", "Strahlung", "x1", "漢字", "don't", "--", "🙂"]
     rows = [(i, " ".join(rng.choices(vocabulary, k=rng.randrange(0, 60)))) for i in range(80)]
-    got = {r.doc_id: r.n_tokens for r in C.token_counts(make_docs(rows)).collect()}
+    got = {r.doc_id: r.n_tokens for r in C.token_counts(make_docs(rows), VOCABULARY).collect()}
     assert got == {d: sum(viterbi(w, pieces) for w in t.split()) for d, t in rows}
 
 
@@ -54,9 +55,9 @@ def test_defined_cases(make_docs, tmp_path):
     long = "ab" * 40_000
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "the"), (4, "the"), (None, "the the"), (5, "word " * 100_000), (6, long)]
     docs = make_docs(rows).withColumn("n_tokens", F.lit("x")).withColumn("total", F.lit(0))
-    out = C.token_counts(docs).collect()
+    out = C.token_counts(docs, VOCABULARY).collect()
     by = {r.doc_id: r.n_tokens for r in out}
     assert len(out) == len(rows) and by[1] is None and by[2] == by[3] == 0 and by[4] == 1 and by[None] == 2 and by[5] == 100_000 and by[6] > 0
-    assert C.token_counts(make_docs([])).count() == 0
+    assert C.token_counts(make_docs([]), VOCABULARY).count() == 0
     with pytest.raises(Exception):
         C.token_counts(docs, str(tmp_path / "none.model"))
