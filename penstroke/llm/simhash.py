@@ -144,26 +144,18 @@ def _route(plan: Plan, prefix: int):
 
 def _expand(x_at: np.ndarray, x_n: np.ndarray, y_at: np.ndarray, y_n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of the runs ``x_at .. x_at+x_n`` and ``y_at .. y_at+y_n``, run by run, about ``_TILE`` at once."""
-    size = x_n.astype(np.int64) * y_n
-    one = size == 1
-    if one.any():
-        yield x_at[one], y_at[one]
-    for i in np.flatnonzero(size > _TILE).tolist():
-        right = np.arange(y_at[i], y_at[i] + y_n[i])
-        step = max(1, _TILE // int(y_n[i]))
-        for lo in range(int(x_at[i]), int(x_at[i] + x_n[i]), step):
-            left = np.arange(lo, min(lo + step, int(x_at[i] + x_n[i])))
-            yield np.repeat(left, len(right)), np.tile(right, len(left))
-    some = np.flatnonzero((size > 1) & (size <= _TILE))
-    upto = np.cumsum(size[some])
-    while len(some):
-        count = max(1, int(np.searchsorted(upto, _TILE)))
-        at, some, upto = some[:count], some[count:], upto[count:] - upto[count - 1]
-        n = size[at]
-        run = np.repeat(np.arange(len(at)), n)
-        inner = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
-        across = y_n[at][run]
-        yield x_at[at][run] + inner // across, y_at[at][run] + inner % across
+    # each x with its run of y
+    run = np.repeat(np.arange(len(x_n)), x_n)
+    x = np.arange(len(run)) + (x_at - np.cumsum(x_n) + x_n)[run]
+    at, n = y_at[run], y_n[run]
+    upto = np.cumsum(n)
+    lo = 0
+    while lo < len(run):
+        before = int(upto[lo] - n[lo])
+        hi = max(lo + 1, int(np.searchsorted(upto, before + _TILE, side="right")))
+        some = n[lo:hi]
+        yield np.repeat(x[lo:hi], some), np.arange(int(upto[hi - 1]) - before) + np.repeat(at[lo:hi] - (upto[lo:hi] - some - before), some)
+        lo = hi
 
 
 def link(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -199,6 +191,7 @@ class Cell:
         self.rest = rest
         # runs of equal values among the cell's own
         self.order, self.value, self.at, self.n = self._runs(np.flatnonzero(mine), bottom)
+        self.sorted_high = self.high[self.order]
         self.slot = None
         if rest <= _DIRECT:
             self.slot = np.full(1 << rest, -1, np.int32)
@@ -229,6 +222,7 @@ class Cell:
     def _meet(self, order: np.ndarray, value: np.ndarray, at: np.ndarray, n: np.ndarray, ball: int, same: bool) -> None:
         """Compare runs with the cell's own whose value is within ``ball`` bits; of a pair among the cell's own, the one
         with the highest differing bit set comes to the other."""
+        high = self.high[order]
         for mask in [0, *_masks(self.rest, ball)]:
             if mask and same:
                 come = np.flatnonzero((value >> (mask.bit_length() - 1)) & 1)
@@ -240,10 +234,12 @@ class Cell:
                 if same and not mask:
                     keep = x < y
                     x, y = x[keep], y[keep]
-                self._verify(order[x], self.order[y])
+                self.compared += len(x)
+                near = np.flatnonzero(np.bitwise_count(high[x] ^ self.sorted_high[y]) <= self.plan.radius)
+                if len(near):
+                    self._verify(order[x[near]], self.order[y[near]])
 
     def _verify(self, x: np.ndarray, y: np.ndarray) -> None:
-        self.compared += len(x)
         high, low = self.high[x] ^ self.high[y], self.low[x] ^ self.low[y]
         near = np.flatnonzero(np.bitwise_count(high) + np.bitwise_count(low) <= self.plan.radius)
         if not len(near):
