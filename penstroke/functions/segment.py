@@ -18,9 +18,18 @@ def words(prose: Column) -> Column:
     return F.transform(F.regexp_extract_all(prose, F.lit("[A-Za-z](?:['A-Za-z-]*[A-Za-z])?"), F.lit(0)), F.lower)
 
 
+def pieces(prose: Column) -> Column:
+    """What lies between sentence breaks; a break needs a closing mark, white space and an opening character."""
+    return F.transform(F.split(prose, _BREAK), strip)
+
+
+def long_enough(parts: Column) -> Column:
+    """Pieces that are sentences: longer than three characters."""
+    return F.filter(parts, lambda s: F.length(s) > 3)
+
+
 def sentences(prose: Column) -> Column:
-    """Sentences longer than three characters; a break needs a closing mark, white space and an opening character."""
-    return F.filter(F.transform(F.split(prose, _BREAK), strip), lambda s: F.length(s) > 3)
+    return long_enough(pieces(prose))
 
 
 def paragraphs(prose: Column) -> Column:

@@ -1,8 +1,8 @@
 """Style measures and profiles of any scope: a document, a register (any grouping), or a concatenated corpus.
 
 ``measure`` is narrow: one row a document with its arrays and counts. Counts add up, so a scope's totals are one
-partial aggregation; length statistics come from histograms, word lists from (scope, word) counts. Nothing is shuffled
-but these aggregates.
+partial aggregation; length statistics come from histograms, word lists from (scope, word) counts, both summed up within
+Arrow batches before they meet. Nothing is shuffled but these aggregates.
 """
 
 from __future__ import annotations
@@ -11,10 +11,14 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegralType, IntegerType, LongType, StringType, StructType
 from pyspark.sql.window import Window
 
 from penstroke.functions import clean, counts, lexicons, segment
 
+from . import tokens
+
 _LISTS = {
     "hedge": lexicons.HEDGES, "boost": lexicons.BOOSTERS, "first_sg": lexicons.FIRST_SINGULAR,
     "first_pl": lexicons.FIRST_PLURAL, "second": lexicons.SECOND_PERSON, "third": lexicons.THIRD_PERSON,
@@ -44,15 +48,16 @@ def measure(docs: DataFrame, by: list[str], order: str = "doc_id", text: str = "
     scope = [F.col(c).alias(c) for c in by]
     base = docs.where(F.col(text).isNotNull()).select(*scope, F.col(order).alias("ord"), F.col(text).alias("raw"), clean.strip_markdown(F.col(text)).alias("prose"))
     prose = F.col("prose")
-    cut = base.select("*", segment.words(prose).alias("words"), segment.sentences(prose).alias("sentences"), segment.paragraphs(prose).alias("paragraphs"), segment.lines(F.col("raw")).alias("raw_lines"))
-    cut = cut.select(
+    cut = base.select("*", segment.words(prose).alias("words"), segment.pieces(prose).alias("pieces"), segment.paragraphs(prose).alias("paragraphs"), segment.lines(F.col("raw")).alias("raw_lines"))
+    cut = cut.withColumn("sentences", segment.long_enough(F.col("pieces"))).select(
         "*", F.transform("sentences", segment.words).alias("sentence_words"), F.transform("paragraphs", lambda p: F.size(segment.words(p))).alias("paragraph_sizes"),
         counts.window_types(F.col("words")).alias("__w"),
     )
     # one pass over all words, then one over the few marked ones for each class
     cut = cut.withColumn("marked", F.filter("words", lambda w: w.isin(_MARKED)))
     lists = {name: counts.in_list(F.col("marked"), terms) for name, terms in _LISTS.items()}
-    lists["hedge"] = lists["hedge"] + counts.hedge_phrases(prose)
+    cut = cut.withColumn("hedge_phrases", counts.hedge_phrases(prose))
+    lists["hedge"] = lists["hedge"] + F.col("hedge_phrases")
     concession = F.size(F.filter("sentence_words", lambda s: F.exists(s, lambda w: w.isin(lexicons.CONCESSIONS))))
     values = {
         "word_count": F.size("words"), "sentence_count": F.size("sentences"), "paragraph_count": F.size("paragraphs"), "char_count": F.length("prose"),
@@ -60,7 +65,7 @@ def measure(docs: DataFrame, by: list[str], order: str = "doc_id", text: str = "
         "total_lines": F.size("raw_lines"), "bullet_lines": counts.bullet_lines(F.col("raw_lines")), "heading_lines": counts.heading_lines(F.col("raw_lines")),
         "code_fences": counts.fences(F.col("raw")),
     }
-    kept = [*by, "ord", "prose", "words", "sentences", "sentence_words", "paragraphs", "paragraph_sizes"]
+    kept = [*by, "ord", "prose", "words", "sentences", "sentence_words", "pieces", "paragraphs", "paragraph_sizes", "hedge_phrases"]
     return cut.select(*kept, F.col("__w.hapax").alias("hapax"), *[v.cast("long").alias(k) for k, v in values.items()])
 
 
@@ -93,9 +98,18 @@ def rates(total: DataFrame, by: list[str]) -> DataFrame:
 
 
 def word_counts(measured: DataFrame, by: list[str]) -> DataFrame:
-    """``by, word, n, first``: occurrences, and the place of the first one, which settles ties."""
-    placed = measured.select(*by, "ord", F.posexplode("words").alias("pos", "word"))
-    return placed.groupBy(*by, "word").agg(F.count("*").alias("n"), F.min(F.struct("ord", "pos")).alias("first"))
+    """``by, word, n, first``: occurrences, and the place of the first one, which settles ties.
+
+    Words are counted within Arrow batches first. With an integral ``ord`` the place is one number, so that the rest is
+    one hash aggregation; else a struct.
+    """
+    texts = measured.select(*by, "ord", "prose")
+    kinds = texts.schema
+    out = StructType([*[kinds[c] for c in by]]).add("word", StringType()).add("n", LongType()).add("ord", kinds["ord"].dataType).add("pos", IntegerType())
+    counted = texts.mapInArrow(tokens.count_words(by, to_arrow_schema(out)), out)
+    whole = isinstance(kinds["ord"].dataType, IntegralType)
+    place = F.col("ord").cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos") if whole else F.struct("ord", "pos")
+    return counted.groupBy(*by, "word").agg(F.sum("n").alias("n"), F.min(place.cast("decimal(38,0)") if whole else place).alias("first"))
 
 
 def hapax(word_count: DataFrame, by: list[str]) -> DataFrame:
@@ -109,8 +123,9 @@ def _top(counted: DataFrame, by: list[str], limit: int) -> DataFrame:
 
 
 def _ranked_words(counted: DataFrame, by: list[str], chosen: Column, limit: int) -> DataFrame:
-    tokens = counted.groupBy(*by).agg(F.sum("n").alias("tokens"))
-    top = _top(counted.where(chosen), by, limit).join(tokens, by)
+    # the choice names the count, so it stays above the aggregate, whose exchange both branches then share
+    total = counted.groupBy(*by).agg(F.sum("n").alias("tokens"))
+    top = _top(counted.where(F.when(F.col("n") > 0, chosen)), by, limit).join(total, by)
     return top.select(*by, "rank", "word", "n", (F.col("n") / F.col("tokens") * 1000).alias("per_1000"))
 
 
@@ -203,20 +218,17 @@ def _stats_of(histogram: Column, prefix: str) -> dict[str, Column]:
     }
 
 
-def _facts(measured: DataFrame, by: list[str]) -> DataFrame:
-    """``by, kind, key, n``: counts by name, words, sentence and paragraph sizes of a scope, all from one pass."""
+#: Counts of ``measure`` that the kernel of the facts takes as they are; it finds the others itself.
+_GIVEN = ["sentence_count", "paragraph_count", "char_count", *counts.MARKS, "total_lines", "bullet_lines", "heading_lines", "code_fences", "hedge_phrases"]
 
-    def fact(kind: str, key: Column, n: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), key.alias("key"), n.alias("n"))
 
-    once = F.lit(1).cast("long")
-    rows = F.concat(
-        F.array(*[fact("count", F.lit(c), F.col(c)) for c in COUNTS]),
-        F.transform("words", lambda w: fact("word", w, once)),
-        F.transform(F.filter(F.transform("sentence_words", F.size), lambda x: x > 0), lambda x: fact("sentence", x.cast("string"), once)),
-        F.transform(F.filter("paragraph_sizes", lambda x: x > 0), lambda x: fact("paragraph", x.cast("string"), once)),
-    )
-    return measured.select(*by, F.inline(rows)).groupBy(*by, "kind", "key").agg(F.sum("n").alias("n"))
+def _facts(measured: DataFrame, by: list[str]) -> DataFrame:
+    """``by, kind, key, n``: counts by name, words, sentence and paragraph sizes of a scope, all from one pass, summed up
+    within Arrow batches first."""
+    texts = measured.select(*by, "pieces", "paragraphs", *_GIVEN)
+    out = StructType([*[texts.schema[c] for c in by]]).add("kind", StringType()).add("key", StringType()).add("n", LongType())
+    found = texts.mapInArrow(tokens.profile_facts(by, _LISTS, lexicons.CONCESSIONS, counts.WINDOW, to_arrow_schema(out)), out)
+    return found.groupBy(*by, "kind", "key").agg(F.sum("n").alias("n"))
 
 
 def scalars(measured: DataFrame, by: list[str]) -> DataFrame:

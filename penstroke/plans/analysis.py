@@ -36,9 +36,9 @@ def register_pivot(spark, sf_dir):
 
 
 def _two(spark: SparkSession, sf_dir: str, register: str) -> DataFrame:
-    """``feature, value`` of the English documents or of the benchmark's texts."""
+    """``feature, value`` of all documents or of the benchmark's texts."""
     if register == "documents":
-        texts = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.lit(register).alias("source"), "text")
+        texts = table(spark, sf_dir, "documents").select("doc_id", F.lit(register).alias("source"), "text")
     else:
         texts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit(register).alias("source"), "text")
     return _long(profile.measure(texts, BY)).select("feature", "value")
@@ -219,7 +219,7 @@ def _r(column: str, name: str | None = None) -> str:
     return f"round({column}, 6) + 0.0 AS {name or column}"
 
 
-_EN = "SELECT doc_id, 'documents' AS source, lang, text AS raw FROM documents WHERE lang = 'en' AND text IS NOT NULL"
+_DOCS = "SELECT doc_id, 'documents' AS source, lang, text AS raw FROM documents WHERE text IS NOT NULL"
 _BENCH = "SELECT item_id AS doc_id, 'benchmark' AS source, 'en' AS lang, text AS raw FROM benchmark WHERE text IS NOT NULL"
 _ALL = "SELECT doc_id, 'all' AS source, lang, text AS raw FROM documents WHERE text IS NOT NULL"
 _MINED = f"""lf AS MATERIALIZED {{lf}}, bounds AS (SELECT * FROM {_values(rules.EXTREMES, "feature", "op", "bound", "rule")}),
@@ -239,7 +239,7 @@ def _verify(preset: str) -> str:
 
     tests = " ".join(f"WHEN '{f}' THEN {test(*rule)}" for f, rule in compare.CHECKS[preset].items())
     names = ", ".join(f"'{f}'" for f in compare.CHECKS[preset])
-    return f"""WITH b AS (SELECT feature, t.value AS target, p.value AS produced FROM {long_sql(source=_EN)} t FULL JOIN {long_sql(source=_BENCH)} p USING (feature) WHERE feature IN ({names}))
+    return f"""WITH b AS (SELECT feature, t.value AS target, p.value AS produced FROM {long_sql(source=_DOCS)} t FULL JOIN {long_sql(source=_BENCH)} p USING (feature) WHERE feature IN ({names}))
 SELECT feature, {_r("target")}, {_r("produced")}, coalesce(CASE feature {tests} END, false) AS passed FROM b"""
 
 
@@ -277,8 +277,8 @@ SQL: dict[str, str] = {
     "features_long": f"SELECT source, feature, round(value, 6) AS value FROM {long_sql()}",
     "register_pivot": f"""WITH lf AS {long_sql("lang")} SELECT feature, {", ".join(f"round(max(value) FILTER (lang = '{x}'), 6) AS {x}" for x in LANGS)} FROM lf
 WHERE feature IN ({", ".join(f"'{f}'" for f in compare.COMPARED)}) GROUP BY feature""",
-    "profile_diff": f"WITH {_diff(_EN, _BENCH)} SELECT feature, {_r('old_value')}, {_r('new_value')}, {_r('change')}, significant, appeared FROM diff",
-    "unsupported_rules": f"""WITH {_diff(_BENCH, _EN)}, {_MINED.format(lf="(SELECT 'benchmark' AS source, feature, value FROM o)")}
+    "profile_diff": f"WITH {_diff(_DOCS, _BENCH)} SELECT feature, {_r('old_value')}, {_r('new_value')}, {_r('change')}, significant, appeared FROM diff",
+    "unsupported_rules": f"""WITH {_diff(_BENCH, _DOCS)}, {_MINED.format(lf="(SELECT 'benchmark' AS source, feature, value FROM o)")}
 SELECT feature, rule AS rule_id, {_r("new_value")} FROM mined JOIN diff USING (feature) WHERE value = 0 AND appeared""",
     "mined_rules": f"WITH {_MINED.format(lf=long_sql())} SELECT source, feature, round(value, 6) AS value, rule, confidence FROM mined",
     "baseline_rules": f"""WITH j AS (SELECT a.source, a.feature, a.value, b.value AS baseline FROM {long_sql()} a JOIN {long_sql(source=_ALL)} b USING (feature) WHERE b.value > 0)
@@ -302,7 +302,7 @@ k AS (SELECT doc_id, line, trim(rule) AS rule, CASE {_CUES} END AS kind FROM l)
     "verification_absolute": _verify("absolute"),
     "verification_relative": _verify("relative"),
     "stated_preferences": f"""WITH s AS (SELECT * FROM {_values(STATED, "feature", "stated")})
-SELECT feature, round(coalesce(stated, value), 6) AS value, CASE WHEN stated IS NULL THEN 'measured' ELSE 'stated' END AS origin FROM {long_sql(source=_EN)} LEFT JOIN s USING (feature)""",
+SELECT feature, round(coalesce(stated, value), 6) AS value, CASE WHEN stated IS NULL THEN 'measured' ELSE 'stated' END AS origin FROM {long_sql(source=_DOCS)} LEFT JOIN s USING (feature)""",
     "latest_snapshots": f"""WITH r AS (SELECT voice, snapshot_date, CAST(row_number() OVER (PARTITION BY voice ORDER BY snapshot_date DESC) AS INTEGER) AS rank FROM {_values(SNAPSHOTS, "voice", "snapshot_date")})
 SELECT * FROM r WHERE rank <= 2""",
     "regeneration_triggers": f"""WITH s AS (SELECT voice, new_words, corrections, new_words > 5000 AS grown, CAST(day AS DATE) + INTERVAL 6 MONTH < DATE '{TODAY}' AS old, corrections > 2 AS wrong FROM {_values(STATES, "voice", "new_words", "day", "corrections")})
