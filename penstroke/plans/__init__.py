@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analysis, measures, turns
+from . import analysis, files, measures, turns
 
-QUERIES = measures.QUERIES | turns.QUERIES | analysis.QUERIES
-SQL = measures.SQL | turns.SQL | analysis.SQL
+QUERIES = measures.QUERIES | turns.QUERIES | analysis.QUERIES | files.QUERIES
+SQL = measures.SQL | turns.SQL | analysis.SQL | files.SQL

@@ -80,7 +80,9 @@ def negative_space(spark, sf_dir):
 
 
 def ban_scan(spark, sf_dir):
-    return rules.scan(table(spark, sf_dir, "documents"), "doc_id")
+    """All documents, and the drafts under negative ids, since invented prose holds none of the banned phrases."""
+    drafts = _drafts(spark).select((-1 - F.col("doc_id")).alias("doc_id"), "text")
+    return rules.scan(table(spark, sf_dir, "documents").select("doc_id", "text").union(drafts), "doc_id")
 
 
 #: Drafts with what the bans name, and near misses of it.
@@ -289,7 +291,7 @@ SELECT source || ':' || feature AS rule_id, rule, confidence FROM mined WHERE so
     "negative_space": f"""WITH {sql.base()}, t AS (SELECT source, sum(len(list_filter({_SIZES}, lambda n: n < 8))) AS staccato, sum({_TRICOLON}) AS tricolon, sum({sql.occurrences("prose", "?")}) AS questions,
   sum({sql.among("words", lexicons.SECOND_PERSON)}) AS second_person, sum({sql.occurrences("prose", ":")}) AS announcement_colon FROM d GROUP BY source)
 SELECT source, {", ".join(f"CAST({n} AS BIGINT) AS {n}" for n in _NEGATIVE)}, {", ".join(f"{n} = 0 AS no_{n}" for n in _NEGATIVE)} FROM t""",
-    "ban_scan": _scan("documents"),
+    "ban_scan": _scan(f"(SELECT doc_id, text FROM documents UNION ALL SELECT -1 - doc_id, text FROM {_values(list(enumerate(DRAFTS)), 'doc_id', 'text')})"),
     "ban_scan_cases": _scan(_values(list(enumerate(DRAFTS)), "doc_id", "text")),
     "corrective_targets": " UNION ALL ".join(
         f"SELECT doc_id, {sql.lit(n)} AS pattern, CAST({sql.occurrences('lower(text)', p)} AS BIGINT) AS found, CAST({t} AS INTEGER) AS target, {sql.occurrences('lower(text)', p)} <= {t} AS passed FROM documents WHERE text IS NOT NULL"
