@@ -22,30 +22,52 @@ def test_article_is_kept_and_the_rest_is_not():
         assert boiler not in text
 
 
+def plain_scores(paths, lengths, marks):
+    """Fused score of each path, and the threshold, with plain loops."""
+    n = len(paths)
+    kernel = {k: np.exp(-(k**2) / (2 * H.WIDTH**2)) for k in range(-H.REACH, H.REACH + 1)}
+    smooth = []
+    for values, more in ((lengths, 0), (marks, 1)):
+        ratio = {p: (sum(v for v, q in zip(values, paths) if q == p) + more) / paths.count(p) for p in set(paths)}
+        near = [[(kernel[k], ratio[paths[j + k]]) for k in kernel if 0 <= j + k < n] for j in range(n)]
+        smooth.append([sum(w * r for w, r in x) / sum(w for w, _ in x) for x in near])
+    fused = [np.sqrt(a / max(smooth[0]) * b / max(smooth[1])) for a, b in zip(*smooth)]
+    score = {p: np.mean([f for f, q in zip(fused, paths) if q == p]) for p in set(paths)}
+    return score, min(H.SPREAD * np.std([score[p] for p in sorted(score)]), max(score.values()))
+
+
 def test_ratios_equal_a_plain_computation():
     rng = np.random.default_rng(7)
     for _ in range(40):
         n = int(rng.integers(1, 25))
         paths = [f"p{x}" for x in rng.integers(0, 5, n)]
         lengths, marks = rng.integers(1, 200, n).tolist(), rng.integers(0, 9, n).tolist()
-        kernel = {k: np.exp(-(k**2) / (2 * H.WIDTH**2)) for k in range(-H.REACH, H.REACH + 1)}
-        fused = []
-        for i in range(n):
-            product = 1.0
-            for values, more in ((lengths, 0), (marks, 1)):
-                ratio = {p: (sum(v for v, q in zip(values, paths) if q == p) + more) / paths.count(p) for p in paths}
-
-                def smooth(j, ratio=ratio):
-                    near = [(kernel[k], ratio[paths[j + k]]) for k in kernel if 0 <= j + k < n]
-                    return sum(w * r for w, r in near) / sum(w for w, _ in near)
-
-                product *= smooth(i) / max(smooth(j) for j in range(n))
-            fused.append(np.sqrt(product))
-        score = {p: np.mean([f for f, q in zip(fused, paths) if q == p]) for p in paths}
-        limit = min(H.SPREAD * np.std([score[p] for p in sorted(score)]), max(score.values()))
-        want = {p for p in score if score[p] >= limit - 1e-12}
+        score, limit = plain_scores(paths, lengths, marks)
         assert H.content_paths(paths, lengths, marks) >= {p for p in score if score[p] > limit + 1e-9}
-        assert H.content_paths(paths, lengths, marks) <= want
+        assert H.content_paths(paths, lengths, marks) <= {p for p in score if score[p] >= limit - 1e-12}
+
+
+def test_the_whole_query_equals_plain_loops(spark):
+    """Every page of the table: its nodes by paths written out, scores by plain loops, lines joined."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r.page_id: r.text for r in H.main_text(pages).collect()}
+    assert len(got) > 10
+    for r in pages.collect():
+        found = H.nodes(r.html) if r.html is not None else []
+        if not found:
+            assert not got[r.page_id]
+            continue
+        score, limit = plain_scores([p for p, _, _ in found], [len(t.strip()) for _, t, _ in found], [sum(c in ".,;:!?…。，；：！？、()\"“”«»" for c in t) for _, t, _ in found])
+        lines, open_ = [], False
+        for p, t, fresh in found:
+            if score[p] < limit - 1e-12:
+                open_ = False
+                continue
+            if fresh or not open_:
+                lines.append("")
+            lines[-1] += t
+            open_ = True
+        assert got[r.page_id] == "\n".join(x.strip() for x in lines if x.strip())
 
 
 def test_tags_left_open_or_closed_twice():

@@ -1,13 +1,14 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from penstroke.llm import mixing, packing, quality, simhash  # noqa: E402
 from penstroke.llm.substrings import cut  # noqa: E402
 
-from . import test_mixing, test_packing, test_simhash, test_substrings  # noqa: E402
+from . import test_mixing, test_packing, test_related, test_simhash, test_substrings  # noqa: E402
 from .conftest import DOC_SCHEMA, words  # noqa: E402
 
 
@@ -81,6 +82,10 @@ def test_stages_equal_a_plain_computation(spark, sf_dir, monkeypatch):
     mixed = test_mixing.brute([(d, t, source[d]) for d, t in want.items()])
     assert texts("mixing") == {x[0]: want[x[0]] for x in mixed}
     test_packing.whole(test_packing.pieces(out["packing"]), {x[0]: x[4] for x in mixed}, packing.WINDOW)
+    bag = {x[0]: test_related.bag_of(want[x[0]]) for x in mixed}
+    found = [(w, p, bag[d], f, n) for w, p, d, f, n in test_packing.pieces(out["packing"])]
+    plain = test_related.plain([(x[0], want[x[0]]) for x in mixed], packing.WINDOW)
+    assert sorted(found) == sorted((w, p, bag[d], f, n) for w, p, d, f, n in plain)
 
 
 def test_run_gives_the_last_stage(spark, sf_dir):
@@ -88,6 +93,21 @@ def test_run_gives_the_last_stage(spark, sf_dir):
     assert got.columns == ["window_id", "place", "path", "doc_id", "first_token", "n_tokens"] and got.count() > 0
 
 
+def test_columns_of_clashing_names_are_carried(spark, sf_dir, tmp_path):
+    """Rows with nulls, repeated rows and columns that the stages use themselves."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = docs.union(docs.where("doc_id IN (1, 700)")).union(docs.where("doc_id = 2").selectExpr("CAST(NULL AS LONG)", "text", "lang", "source", "n_chars"))
+    names = ["high", "low", "part", "block", "payload", "words", "anchors", "shard", "quota", "bag1", "rep", "copy", "__id", "__in", "__gone", "__cut", "y"]
+    docs.withColumns({n: F.lit("c") for n in names}).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf_dir}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = now.columns
+    for name, stage in corpus_pipeline.STAGES:
+        now = corpus_pipeline.materialise(stage(spark, now, str(tmp_path)))
+        assert name == "packing" or now.columns == columns
+    assert now.where("doc_id IS NULL").count() == 0 and now.count() > 0
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], DOC_SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")

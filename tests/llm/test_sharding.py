@@ -45,6 +45,25 @@ def test_shards_are_balanced_and_sums_right(spark):
     assert (load / load.sum(0)).max() <= 1.06 / 8 + largest
 
 
+def test_the_whole_query_equals_plain_loops(spark):
+    """Groups, pieces and bundles by plain loops (their hashes are Spark's own), then greedy placement."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    shards = 3
+    rows = docs.selectExpr("doc_id", "coalesce(source, '') AS source", "text", "xxhash64(doc_id) AS h", "xxhash64(coalesce(source, '')) AS g").collect()
+    load = [(len((r.text or "").encode()), len((r.text or "").split()), 1) for r in rows]
+    total = [max(sum(x[k] for x in load), 1) for k in range(3)]
+    group = {}
+    for r, x in zip(rows, load):
+        group[r.source] = [a + b for a, b in zip(group.get(r.source, [0, 0, 0]), x)]
+    pieces = {s: int(np.ceil(max(x[k] / (total[k] / (shards * S.PIECES)) for k in range(3)))) for s, x in group.items()}
+    item = [f"={r.h % pieces[r.source]}:{r.source}" if pieces[r.source] > 1 else f"~{r.g % (shards * S.PIECES)}" for r in rows]
+    items = sorted(set(item))
+    loads = [[sum(x[k] for i, x in zip(item, load) if i == name) for k in range(3)] for name in items]
+    where = dict(zip(items, greedy(loads, shards, S.SLACK)))
+    got = {r.doc_id: r.shard for r in S.assign(docs, shards).collect()}
+    assert got == {r.doc_id: where[i] for r, i in zip(rows, item)} and len(set(got.values())) == shards
+
+
 def test_small_groups_stay_together(make_docs):
     rng = random.Random(1)
     rows = [(i, " ".join(words(rng, 20)), f"tiny{i % 300}") for i in range(900)]
