@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 #: A join side is broadcast only while rows times width stay below this; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _folders: dict[str, str] = {}
 _tables: dict[str, SparkSession] = {}
 
@@ -53,10 +55,17 @@ def is_local(master: str) -> bool:
 def materialise(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 
-    A lost executor then costs a re-read, never a recomputation of the whole chain.
+    A lost executor then costs a re-read, never a recomputation of the whole chain. The shuffle files that led to the
+    table are removed once it is written.
     """
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    (df.coalesce(partitions) if partitions else df).write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        (df.coalesce(partitions) if partitions else df).write.parquet(path)
+    finally:
+        conf.set(_CLEANUP, before)
     _tables[path] = df.sparkSession
     kept = df.sparkSession.read.schema(df.schema).parquet(path)
     kept._penstroke_path = path
