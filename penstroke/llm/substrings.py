@@ -7,10 +7,10 @@ such repeat; around them windows of ``MIN_WORDS`` words are compared by 128-bit
 which extends each hit to its maximal exact repeat. No text pair is formed, so a passage that n texts share costs n
 records. The first occurrence, by (doc_id, position), stays; every other one is reported.
 
-Hot passages don't meet in one task. A window that occurs again within the ``PACK_BYTES`` of text read together is live
-there without asking, and is sent to the index once. Of equal long windows a task sends its first one only, and the first
-of all comes back to each task that asked, where it meets the task's other occurrences. So a hash has at most one record
-a pack, or a task, of text, however many texts hold it. The number of partitions follows the bytes of text.
+Hot passages don't meet in one task. A window that occurs again within the ``PACK_BYTES`` of text read together, once as a
+block or more than ``OFTEN`` times, is live there without asking, and is sent to the index once. Of equal long windows a task sends its first one only, and the first
+of all comes back to each task that asked, where it meets the task's other occurrences. So a hash has at most ``OFTEN``
+records a pack, and one a task, of text, however many texts hold it. The number of partitions follows the bytes of text.
 
 Index and probes meet in one shuffle of five hash bytes and a delta-coded document id a window.
 
@@ -39,6 +39,8 @@ ANCHOR = 25
 MIN_WORDS = 2 * ANCHOR
 #: Text bytes whose windows go into one packed record a partition.
 PACK_BYTES = 8 << 20
+#: Places of a window in a pack that are sent to the index one by one, at most.
+OFTEN = 16
 #: Text bytes a partition, about.
 PART_BYTES = 16 << 20
 
@@ -133,15 +135,19 @@ def _probe(parts: int):
         first = np.flatnonzero(np.diff(hashes, prepend=hashes[:1] + np.uint64(1))) if len(hashes) else np.zeros(0, np.int64)
         times = np.diff(np.append(first, len(hashes)))
         rows = []
-        again = np.repeat(times > 1, times)
-        if again.any():
-            doc = owner[again].astype(np.int64)
-            sort = np.argsort(doc, kind="stable")
-            rows.append((int(_part(mix64(ids[:1].view(np.uint64)), parts)[0]), None, _pack(ids[doc[sort]], _anchor(hashes[again], parts)[sort].view(np.uint64))))
-        # one record a hash: a block if any of its places is one
         if len(first):
-            inner = np.logical_and.reduceat(inner, first)
-            hashes, owner = hashes[first], owner[first]
+            block = ~np.logical_and.reduceat(inner, first)
+            known = (times > 1) & (block | (times > OFTEN))
+            live = np.repeat(known, times)
+            if live.any():
+                doc = owner[live].astype(np.int64)
+                sort = np.argsort(doc, kind="stable")
+                rows.append((int(_part(mix64(ids[:1].view(np.uint64)), parts)[0]), None, _pack(ids[doc[sort]], _anchor(hashes[live], parts)[sort].view(np.uint64))))
+            # of what is known here one record, a block if any of its places is one
+            sent = ~live
+            sent[first] = True
+            inner[first] &= ~(block & known)
+            hashes, inner, owner = hashes[sent], inner[sent], owner[sent]
         key = (_part(hashes, parts).astype(np.uint64) << np.uint64(33)) | (inner.astype(np.uint64) << np.uint64(32)) | owner
         order = np.argsort(key)
         key, hashes = key[order], hashes[order]
@@ -169,15 +175,23 @@ def _probe(parts: int):
     return run
 
 
+def _by_document(ids: np.ndarray, anchor: np.ndarray) -> pa.RecordBatch:
+    order = np.argsort(ids, kind="stable")
+    ids, anchor = ids[order], anchor[order]
+    first = np.flatnonzero(np.diff(ids, prepend=ids[:1] - 1)) if len(ids) else np.zeros(0, np.int64)
+    anchors = pa.ListArray.from_arrays(pa.array(np.append(first, len(ids)).astype(np.int32)), pa.array(anchor))
+    return pa.RecordBatch.from_arrays([pa.array(ids[first]), anchors], ["doc_id", "anchors"])
+
+
 def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every occurrence ``doc_id, anchor`` of a hash that is a reference block and occurs twice or more, and those that
+    """Every occurrence ``doc_id, anchors`` of a hash that is a reference block and occurs twice or more, and those that
     were found live where they were read."""
     found: dict[int, tuple[list, list]] = {}
     for batch in batches:
         for part, block, payload in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "payload"))):
             if block is None:
                 ids, anchor = _unpack(payload, np.int64, np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(anchor.view(np.int64))], ["doc_id", "anchor"])
+                yield _by_document(ids, anchor.view(np.int64))
             else:
                 found.setdefault(part, ([], []))[0 if block else 1].append(payload)
     for part in sorted(found):
@@ -196,7 +210,7 @@ def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = np.concatenate([b_ids, o_ids])
         slot = np.concatenate([own, slot])
         alive = count[slot] > 1
-        yield pa.RecordBatch.from_arrays([pa.array(ids[alive]), pa.array((np.int64(part) << np.int64(40)) | index[slot[alive]])], ["doc_id", "anchor"])
+        yield _by_document(ids[alive], (np.int64(part) << np.int64(40)) | index[slot[alive]])
 
 
 def _extend(parts: int):
@@ -328,11 +342,11 @@ def repeats(docs: DataFrame) -> DataFrame:
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(shuffle_partitions(spark), -(-size // PART_BYTES))
     packed = texts.mapInArrow(_probe(parts), _PACKED).repartitionById(parts, "part")
-    live = materialise(packed.mapInArrow(_live, "doc_id long, anchor long"))
-    hits = live.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")).withColumnRenamed("doc_id", "__id")
+    live = materialise(packed.mapInArrow(_live, "doc_id long, anchors array<long>"))
+    hits = live.repartition(parts, "doc_id").groupBy("doc_id").agg(F.flatten(F.collect_list("anchors")).alias("anchors")).withColumnRenamed("doc_id", "__id")
     # the hits grow with the text, so both sides shuffle at every size, in a fixed number of partitions, by which the
     # tasks of the next step are known; hashing the hits spares sorting the texts
-    near = texts.repartition(parts, "doc_id").join(hits.repartition(parts, "__id").hint("shuffle_hash"), F.col("doc_id") == F.col("__id")).drop("__id")
+    near = texts.repartition(parts, "doc_id").join(hits.hint("shuffle_hash"), F.col("doc_id") == F.col("__id")).drop("__id")
     windows = materialise(near.mapInArrow(_extend(parts), _PACKED))
     discard(live)
     first = windows.where("NOT block").repartitionById(parts, "part").mapInArrow(_first(parts), _PACKED)
