@@ -97,19 +97,29 @@ def rates(total: DataFrame, by: list[str]) -> DataFrame:
     return total.select(*by, *[c.alias(n) for n, c in rate_columns().items()])
 
 
-def word_counts(measured: DataFrame, by: list[str]) -> DataFrame:
-    """``by, word, n, first``: occurrences, and the place of the first one, which settles ties.
+def _place(rows: DataFrame) -> Column:
+    """``ord`` and ``pos`` as one value in their order: a number for an integral ``ord``, which a hash aggregation can
+    take the least of; else a struct."""
+    if not isinstance(rows.schema["ord"].dataType, IntegralType):
+        return F.struct("ord", "pos")
+    return (F.col("ord").cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos")).cast("decimal(38,0)")
+
+
+def _counted(measured: DataFrame, by: list[str], totals: bool) -> DataFrame:
+    """``by, word, n, first``; with ``totals`` also a row without a word for all words of a scope.
 
-    Words are counted within Arrow batches first. With an integral ``ord`` the place is one number, so that the rest is
-    one hash aggregation; else a struct.
+    Words are counted within Arrow batches first.
     """
     texts = measured.select(*by, "ord", "prose")
     kinds = texts.schema
     out = StructType([*[kinds[c] for c in by]]).add("word", StringType()).add("n", LongType()).add("ord", kinds["ord"].dataType).add("pos", IntegerType())
-    counted = texts.mapInArrow(tokens.count_words(by, to_arrow_schema(out)), out)
-    whole = isinstance(kinds["ord"].dataType, IntegralType)
-    place = F.col("ord").cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos") if whole else F.struct("ord", "pos")
-    return counted.groupBy(*by, "word").agg(F.sum("n").alias("n"), F.min(place.cast("decimal(38,0)") if whole else place).alias("first"))
+    counted = texts.mapInArrow(tokens.count_words(by, to_arrow_schema(out), totals), out)
+    return counted.groupBy(*by, "word").agg(F.sum("n").alias("n"), F.min(_place(counted)).alias("first"))
+
+
+def word_counts(measured: DataFrame, by: list[str]) -> DataFrame:
+    """``by, word, n, first``: occurrences, and the place of the first one, which settles ties."""
+    return _counted(measured, by, False)
 
 
 def hapax(word_count: DataFrame, by: list[str]) -> DataFrame:
@@ -122,25 +132,32 @@ def _top(counted: DataFrame, by: list[str], limit: int) -> DataFrame:
     return ranked.where(F.col("rank") <= limit)
 
 
-def _ranked_words(counted: DataFrame, by: list[str], chosen: Column, limit: int) -> DataFrame:
-    # the choice names the count, so it stays above the aggregate, whose exchange both branches then share
-    total = counted.groupBy(*by).agg(F.sum("n").alias("tokens"))
-    top = _top(counted.where(F.when(F.col("n") > 0, chosen)), by, limit).join(total, by)
-    return top.select(*by, "rank", "word", "n", (F.col("n") / F.col("tokens") * 1000).alias("per_1000"))
+def ranked_words(measured: DataFrame, by: list[str], chosen: Column, limit: int) -> DataFrame:
+    """``by, rank, word, n, tokens`` of the most frequent words among the chosen; the row of the total ranks first, so that
+    one aggregation and one window hold both. Scopes of which a part is null are left out."""
+    counted = _counted(measured.dropna(subset=by), by, True).where(F.col("word").isNull() | chosen)
+    scope = Window.partitionBy(*by)
+    ranked = counted.withColumn("rank", F.row_number().over(scope.orderBy(F.col("word").isNull().desc(), F.desc("n"), "first"))).where(F.col("rank") <= limit + 1)
+    ranked = ranked.withColumn("tokens", F.max(F.when(F.col("word").isNull(), F.col("n"))).over(scope))
+    return ranked.where("word IS NOT NULL").select(*by, (F.col("rank") - 1).alias("rank"), "word", "n", "tokens")
+
+
+def _rated(ranked: DataFrame, by: list[str]) -> DataFrame:
+    return ranked.select(*by, "rank", "word", "n", (F.col("n") / F.col("tokens") * 1000).alias("per_1000"))
 
 
-def function_words(counted: DataFrame, by: list[str], limit: int = 50) -> DataFrame:
-    return _ranked_words(counted, by, F.col("word").isin(lexicons.FUNCTION_WORDS), limit)
+def function_words(measured: DataFrame, by: list[str], limit: int = 50) -> DataFrame:
+    return _rated(ranked_words(measured, by, F.col("word").isin(lexicons.FUNCTION_WORDS), limit), by)
 
 
-def content_words(counted: DataFrame, by: list[str], limit: int = 30) -> DataFrame:
+def content_words(measured: DataFrame, by: list[str], limit: int = 30) -> DataFrame:
     """Most frequent words longer than two letters that aren't function words; rates are over all tokens."""
-    return _ranked_words(counted, by, ~F.col("word").isin(lexicons.FUNCTION_WORDS) & (F.length("word") > 2), limit)
+    return _rated(ranked_words(measured, by, ~F.col("word").isin(lexicons.FUNCTION_WORDS) & (F.length("word") > 2), limit), by)
 
 
 def sentence_initials(measured: DataFrame, by: list[str], limit: int = 20) -> DataFrame:
     opened = measured.select(*by, "ord", F.posexplode(F.transform(F.filter("sentence_words", lambda s: F.size(s) > 0), lambda s: s[0])).alias("pos", "word"))
-    counted = opened.groupBy(*by, "word").agg(F.count("*").alias("n"), F.min(F.struct("ord", "pos")).alias("first"))
+    counted = opened.groupBy(*by, "word").agg(F.count("*").alias("n"), F.min(_place(opened)).alias("first"))
     return _top(counted, by, limit).select(*by, "rank", "word", "n")
 
 
@@ -269,7 +286,6 @@ def features_long(scalar: DataFrame, by: list[str]) -> DataFrame:
 def profiles(docs: DataFrame, by: list[str], order: str = "doc_id", text: str = "text") -> DataFrame:
     """Nested profile of every scope, with its ranked word lists."""
     measured = measure(docs, by, order, text)
-    words = word_counts(measured, by)
 
     def listed(df: DataFrame, name: str, *columns: str) -> DataFrame:
         ranked = F.sort_array(F.collect_list(F.struct("rank", *columns)))
@@ -277,8 +293,8 @@ def profiles(docs: DataFrame, by: list[str], order: str = "doc_id", text: str =
 
     row = scalars(measured, by)
     for part in (
-        listed(content_words(words, by), "content", "word", "n", "per_1000"),
-        listed(function_words(words, by), "functional", "word", "per_1000"),
+        listed(content_words(measured, by), "content", "word", "n", "per_1000"),
+        listed(function_words(measured, by), "functional", "word", "per_1000"),
         listed(sentence_initials(measured, by), "initials", "word", "n"),
     ):
         row = row.join(part, by, "left")

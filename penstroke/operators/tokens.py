@@ -74,20 +74,28 @@ def _scopes(batch: pa.RecordBatch, by: list[str]) -> tuple[np.ndarray, np.ndarra
     return number, row
 
 
-def count_words(by: list[str], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From ``by, ord, prose``: ``by, word, n, ord, pos``, a word's occurrences in a scope and the first of them."""
+def count_words(by: list[str], schema: pa.Schema, totals: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From ``by, ord, prose``: ``by, word, n, ord, pos``, a word's occurrences in a scope and the first of them; with
+    ``totals`` also a row without a word for all words of a scope."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.take(pc.sort_indices(batch.column("ord")))
             tokens = Tokens(batch.column("prose"))
-            scope, _ = _scopes(batch, by)
+            scope, row_of = _scopes(batch, by)
             key, first, n = np.unique(scope[tokens.row] * max(len(tokens.vocab), 1) + tokens.code, return_index=True, return_counts=True)
             row = tokens.row[first]
             pos = first - np.searchsorted(tokens.row, row)
             rows = batch.take(pa.array(row))
             columns = [*(rows.column(c) for c in by), tokens.vocab.take(pa.array(tokens.code[first])).cast(pa.string()), pa.array(n), rows.column("ord"), pa.array(pos.astype(np.int32))]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+            if totals and batch.num_rows:
+                n = np.bincount(scope[tokens.row], minlength=len(row_of))
+                some = np.flatnonzero(n)
+                whole = batch.take(pa.array(row_of[some]))
+                none = [pa.nulls(len(some), schema.field(c).type) for c in ("word", "ord", "pos")]
+                columns = [*(whole.column(c) for c in by), none[0], pa.array(n[some].astype(np.int64)), none[1], none[2]]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return run
 

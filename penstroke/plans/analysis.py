@@ -169,9 +169,8 @@ def typical_registers(spark, sf_dir):
 
 def burrows_delta(spark, sf_dir):
     measured = profile.measure(table(spark, sf_dir, "documents"), ["lang"])
-    counted = profile.word_counts(measured, ["lang"])
-    tokens = counted.groupBy("lang").agg(F.sum("n").alias("tokens"))
-    rates = counted.where(F.col("word").isin(lexicons.FUNCTION_WORDS)).join(tokens, "lang").select("lang", "word", (F.col("n") / F.col("tokens") * 1000).alias("rate"))
+    words = profile.ranked_words(measured, ["lang"], F.col("word").isin(lexicons.FUNCTION_WORDS), len(lexicons.FUNCTION_WORDS))
+    rates = words.select("lang", "word", (F.col("n") / F.col("tokens") * 1000).alias("rate"))
     return _rounded(compare.burrows_delta(rates, "lang"), "delta")
 
 

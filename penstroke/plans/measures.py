@@ -41,11 +41,11 @@ def word_counts(spark, sf_dir):
 
 
 def top_content_words(spark, sf_dir):
-    return profile.content_words(profile.word_counts(by_source(spark, sf_dir), BY), BY)
+    return profile.content_words(by_source(spark, sf_dir), BY)
 
 
 def function_word_profile(spark, sf_dir):
-    return profile.function_words(profile.word_counts(by_source(spark, sf_dir), BY), BY)
+    return profile.function_words(by_source(spark, sf_dir), BY)
 
 
 def sentence_initials(spark, sf_dir):
