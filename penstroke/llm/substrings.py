@@ -8,9 +8,9 @@ which extends each hit to its maximal exact repeat. No text pair is formed, so a
 records. The first occurrence, by (doc_id, position), stays; every other one is reported.
 
 Hot passages don't meet in one task. A window that occurs again within the ``PACK_BYTES`` of text read together, once as a
-block or more than ``OFTEN`` times, is live there without asking, and is sent to the index once. Of equal long windows a task sends its first one only, and the first
-of all comes back to each task that asked, where it meets the task's other occurrences. So a hash has at most ``OFTEN``
-records a pack, and one a task, of text, however many texts hold it. The number of partitions follows the bytes of text.
+block or more than ``OFTEN`` times, is live there without asking, and is sent to the index once. Of more than ``OFTEN`` equal long windows a task sends its first one
+only, and the first of all comes back to each task that asked, where it meets the task's other occurrences. So a hash has
+at most ``OFTEN`` records a pack, or a task, of text, however many texts hold it. The number of partitions follows the bytes of text.
 
 Index and probes meet in one shuffle of five hash bytes and a delta-coded document id a window.
 
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .runtime import BROADCAST_BYTES, discard, materialise, shuffle_partitions, unused
+from .runtime import BROADCAST_BYTES, materialise, shuffle_partitions, unused
 from .text import Words, mix64, rolling, slices
 
 ANCHOR = 25
@@ -214,23 +214,28 @@ def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _extend(parts: int):
-    """Every window of ``MIN_WORDS`` words that holds a live anchor window, packed for this task's own partition
-    (``block``), and the first of equal ones, packed by hash with the number of the task that asks."""
+    """Every window of ``MIN_WORDS`` words that holds a live anchor window, packed by hash with the number of the task that
+    asks; of those that are often here only the first, while all stay in the task's own partition (``block``)."""
 
     def emit(held: list, task: int) -> pa.RecordBatch:
         ids, one, two, start = (np.concatenate(x) for x in zip(*held))
         order = np.lexsort((start, ids))
         ids, one, two, start = ids[order], one[order], two[order], start[order]
-        rows = [(task, True, _pack(ids, start, one, two))]
         order = np.argsort(one, kind="stable")
         if np.any((np.diff(one[order]) == 0) & (np.diff(two[order]) != 0)):
             order = np.lexsort((two, one))
-        ids, one, two, start = ids[order], one[order], two[order], start[order]
-        first = np.flatnonzero(np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]))))
-        other = np.concatenate(([False], (ids[1:] != ids[:-1]) | (start[1:] != start[:-1])))
-        other[first] = False
-        many = np.add.reduceat(other.astype(np.uint8), first, dtype=np.int64) > 0
-        rows += [(p, False, _pack(ids[first[w]], start[first[w]], one[first[w]], two[first[w]], np.full(len(w), task, np.int32), many[w].astype(np.uint8))) for p, w in _by_part(_part(one[first], parts), parts)]
+        new = np.concatenate(([True], (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)))
+        first = np.flatnonzero(new)
+        often = np.repeat(np.diff(np.append(first, len(order))) > OFTEN, np.diff(np.append(first, len(order))))
+        many = np.zeros(len(ids), bool)
+        many[order] = often
+        sent = ~many
+        sent[order[first]] = True
+        rows = []
+        if many.any():
+            rows.append((task, True, _pack(ids[many], start[many], one[many], two[many])))
+        ids, one, two, start, many = ids[sent], one[sent], two[sent], start[sent], many[sent].astype(np.uint8)
+        rows += [(p, False, _pack(ids[w], start[w], one[w], two[w], np.full(len(w), task, np.int32), many[w])) for p, w in _by_part(_part(one, parts), parts)]
         return _batch(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,55 +279,62 @@ _FIRST = [np.uint64, np.uint64, np.int64, np.int32]
 
 
 def _first(parts: int):
-    """The first place of each window that occurs again, for every task that asked."""
+    """Sent to the task that asked: of each window that occurs again all places but the first, with the first (no
+    ``block``), and the first place of those that are often there; and what stays in the task's own partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, list] = {}
         for batch in batches:
-            for part, payload in zip(batch.column("part").to_pylist(), batch.column("payload").to_pylist()):
-                found.setdefault(part, []).append(payload)
+            for part, own, payload in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "payload"))):
+                if own:
+                    yield _batch([(part, True, payload)])
+                else:
+                    found.setdefault(part, []).append(payload)
         for part in sorted(found):
             ids, start, one, two, task, many = _unpack_all(found.pop(part), np.int64, np.int32, np.uint64, np.uint64, np.int32, np.uint8)
             order = np.lexsort((start, ids, two, one))
             ids, start, one, two, task, many = (x[order] for x in (ids, start, one, two, task, many))
             new = np.flatnonzero(np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]))))
-            size = np.diff(np.append(new, len(one)))
-            # the same place twice, of a repeated row, is one
-            other = np.concatenate(([False], (ids[1:] != ids[:-1]) | (start[1:] != start[:-1])))
-            other[new] = False
-            again = np.repeat((np.add.reduceat(other.astype(np.int64), new) > 0) | (np.add.reduceat(many.astype(np.int64), new) > 0), size)
-            first = np.repeat(new, size)
-            some = np.flatnonzero(again)
-            rows = [(p, False, _pack(one[some[w]], two[some[w]], ids[first[some[w]]], start[first[some[w]]])) for p, w in _by_part(task[some], parts)]
+            first = np.repeat(new, np.diff(np.append(new, len(one))))
+            later = np.flatnonzero((many == 0) & ((ids != ids[first]) | (start - start[first] >= MIN_WORDS)))
+            later = later[np.lexsort((start[later], ids[later]))]
+            asked = np.flatnonzero(many)
+            rows = [(p, None, _pack(ids[later[w]], start[later[w]], ids[first[later[w]]], start[first[later[w]]])) for p, w in _by_part(task[later], parts)]
+            rows += [(p, False, _pack(one[asked[w]], two[asked[w]], ids[first[asked[w]]], start[first[asked[w]]])) for p, w in _by_part(task[asked], parts)]
             if rows:
                 yield _batch(rows)
 
     return run
 
 
+def _resolved(own: list[bytes], firsts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the windows that are often in this task all places but the first: document, start, and those of the first."""
+    ids, start, one, two = _unpack_all(own, np.int64, np.int32, np.uint64, np.uint64)
+    f_one, f_two, f_id, f_start = _unpack_all(firsts, *_FIRST)
+    if not len(f_one):
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    order = np.lexsort((f_two, f_one))
+    f_one, f_two, f_id, f_start = (x[order] for x in (f_one, f_two, f_id, f_start))
+    slot, last = np.searchsorted(f_one, one), np.searchsorted(f_one, one, side="right") - 1
+    while len(behind := np.flatnonzero((slot < last) & (f_two[np.minimum(slot, len(f_two) - 1)] != two))):
+        slot[behind] += 1
+    known = np.flatnonzero(slot <= last)
+    known = known[f_two[slot[known]] == two[known]]
+    ids, start, first_id, first_start = ids[known], start[known], f_id[slot[known]], f_start[slot[known]]
+    later = (ids != first_id) | (start - first_start >= MIN_WORDS)
+    return ids[later], start[later], first_id[later], first_start[later]
+
+
 def _join_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Maximal repeats: runs of windows whose distance to the first occurrence is the same."""
-    found: dict[int, tuple[list, list]] = {}
+    found: dict[int, dict[bool | None, list]] = {}
     for batch in batches:
-        for part, own, payload in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "payload"))):
-            found.setdefault(part, ([], []))[0 if own else 1].append(payload)
+        for part, kind, payload in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "payload"))):
+            found.setdefault(part, {True: [], False: [], None: []})[kind].append(payload)
     for part in sorted(found):
-        own, firsts = found.pop(part)
-        ids, start, one, two = _unpack_all(own, np.int64, np.int32, np.uint64, np.uint64)
-        f_one, f_two, f_id, f_start = _unpack_all(firsts, *_FIRST)
-        del own, firsts
-        if not len(f_one):
-            continue
-        order = np.lexsort((f_two, f_one))
-        f_one, f_two, f_id, f_start = (x[order] for x in (f_one, f_two, f_id, f_start))
-        slot, last = np.searchsorted(f_one, one), np.searchsorted(f_one, one, side="right") - 1
-        while len(behind := np.flatnonzero((slot < last) & (f_two[np.minimum(slot, len(f_two) - 1)] != two))):
-            slot[behind] += 1
-        known = np.flatnonzero(slot <= last)
-        known = known[f_two[slot[known]] == two[known]]
-        ids, start, first_id, first_start = ids[known], start[known], f_id[slot[known]], f_start[slot[known]]
-        later = (ids != first_id) | (start - first_start >= MIN_WORDS)
-        ids, start, first_id, first_start = ids[later], start[later], first_id[later], first_start[later]
+        kinds = found.pop(part)
+        told = _unpack_all(kinds[None], np.int64, np.int32, np.int64, np.int32)
+        ids, start, first_id, first_start = (np.concatenate(x) for x in zip(told, _resolved(kinds[True], kinds[False])))
         shift = first_start - start
         order = np.lexsort((start, shift, first_id, ids))
         ids, start, first_id, shift = ids[order], start[order], first_id[order], shift[order]
@@ -347,11 +359,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     # the hits grow with the text, so both sides shuffle at every size, in a fixed number of partitions, by which the
     # tasks of the next step are known; hashing the hits spares sorting the texts
     near = texts.repartition(parts, "doc_id").join(hits.hint("shuffle_hash"), F.col("doc_id") == F.col("__id")).drop("__id")
-    windows = materialise(near.mapInArrow(_extend(parts), _PACKED))
-    discard(live)
-    first = windows.where("NOT block").repartitionById(parts, "part").mapInArrow(_first(parts), _PACKED)
-    joined = windows.where("block").union(first).repartitionById(parts, "part")
-    return joined.mapInArrow(_join_runs, "doc_id long, start_word int, n_words int, first_doc_id long, first_start_word int")
+    windows = near.mapInArrow(_extend(parts), _PACKED).repartitionById(parts, "part")
+    later = windows.mapInArrow(_first(parts), _PACKED).repartitionById(parts, "part")
+    return later.mapInArrow(_join_runs, "doc_id long, start_word int, n_words int, first_doc_id long, first_start_word int")
 
 
 _WORD = re.compile(r"[^ \t\n\r\f\v]+")

@@ -60,6 +60,7 @@ def test_same_words_as_brute_force(make_docs):
 def test_same_words_whatever_is_read_together(make_docs, monkeypatch, pack, part):
     monkeypatch.setattr(S, "PACK_BYTES", pack)
     monkeypatch.setattr(S, "PART_BYTES", part)
+    monkeypatch.setattr(S, "OFTEN", 2)
     rows = corpus()
     assert covered(S.repeats(make_docs(rows).repartition(5))) == brute(rows)
 
