@@ -223,3 +223,66 @@ def test_grouped_centres_find_nearly_the_same(monkeypatch):
     at = R.Centres(x[:3000], 3000, 1000)
     assert at.groups is not None
     assert np.mean(at.closest(x, 1)[:, 0] == R._closest(x, at.at, 1)[:, 0]) > 0.95
+
+
+def test_a_cell_of_any_size_holds_all_true_neighbours(monkeypatch):
+    """Pieces along one order left out the pairs that were far apart in it."""
+    monkeypatch.setattr(R, "DENSE", 50)
+    monkeypatch.setattr(R, "SPAN", 100)
+    monkeypatch.setattr(R, "_ROWS", 32)
+    texts = corpus(1000)
+    g, a, b, d = found(texts)
+    assert len(a) == 6000 and np.allclose(d, 2 - 2 * g[a, b], atol=1e-4)
+    worst = np.sort(g, axis=1)[:, -6]
+    assert (g[a, b] >= worst[a] - 1e-5).all()
+
+
+def graph(make_docs, texts):
+    """Neighbours of each text as the query finds them, through leaves, parts and cells; and the centres."""
+    table = R.word_table(make_docs(list(enumerate(texts))))
+    member = R.members(table)
+    idf = R.inverse_frequencies(table, table.count())
+    at = R.centres(table, idf, len(texts), 10_000)
+    edges, nodes = {}, []
+    for r in R.candidates(R.nodes(table, member), at, idf, 6).collect():
+        if r.block:
+            nodes += R._unpack(r.payload, np.int64, np.int64, np.int64)[0].tolist()
+        else:
+            a, b, _, d = R._unpack(r.payload, np.int64, np.int64, np.int32, np.float32)
+            for x, y, z in zip(a.tolist(), b.tolist(), d.tolist()):
+                edges.setdefault(x, {})[y] = z
+    assert sorted(nodes) == list(range(len(texts)))
+    return {x: set(sorted(y, key=y.get)[:6]) for x, y in edges.items()}, at
+
+
+def test_parts_of_a_leaf_lose_no_pair(make_docs, monkeypatch):
+    """A leaf that is cut by hash of the id: each two nodes of it meet in one cell at least, and all neighbours are found."""
+    monkeypatch.setattr(R, "SPAN", 100)
+    monkeypatch.setattr(R, "PART", 120)
+    texts = corpus(700)
+    got, at = graph(make_docs, texts)
+    assert len(at.at) == 1 and at.times.tolist() == [6] and at.cells == at.plain + 15
+    g, near = true_neighbours(texts, 6)
+    assert np.mean([len(got[i] & set(near[i].tolist())) / 6 for i in range(700)]) > 0.99
+    part = at.plain + np.arange(6)
+    node, cell, side = at.meet(part)
+    inside = [n for n, s in zip(node.tolist(), side.tolist()) if s % 2 == 0]
+    assert sorted(inside) == list(range(6)) and cell.min() >= at.plain and cell.max() < at.cells
+    pairs = [tuple(sorted(node[cell == c].tolist())) for c in np.unique(cell)]
+    assert sorted(pairs) == [(i, j) for i in range(6) for j in range(i + 1, 6)]
+
+
+def test_leaves_grow_until_they_hold_the_true_neighbours(make_docs, monkeypatch):
+    """Texts of random words have no groups: small leaves lose most of their neighbours."""
+    rng = random.Random(8)
+    texts = [" ".join(words(rng, 60, 400)) for _ in range(800)]
+    monkeypatch.setattr(R, "LEAF", 40)
+    monkeypatch.setattr(R, "SPAN", 200)
+    got, at = graph(make_docs, texts)
+    g, near = true_neighbours(texts, 6)
+    assert np.mean([len(got[i] & set(near[i].tolist())) / 6 for i in range(800)]) >= 0.9
+
+
+def test_words_are_squeezed_without_loss():
+    v = np.array([5 << 8 | 1, 9 << 8 | 255, 3 << 8 | 2, 0xFFFFFF07, 7], np.uint32)
+    assert R.unsqueeze(R.squeeze(v)).tolist() == v.tolist() and len(R.unsqueeze(R.squeeze(v[:0]))) == 0
