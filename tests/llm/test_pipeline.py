@@ -116,3 +116,15 @@ def test_empty_tables(spark, tmp_path):
 
 def test_radius_is_shared():
     assert simhash.plan(1000).radius == simhash.RADIUS
+
+
+def test_packing_loses_no_pair_to_small_leaves_and_parts(spark, make_docs, sf_dir, monkeypatch):
+    """Leaves far smaller than the table, and parts smaller than a leaf: still the graph over all pairs."""
+    monkeypatch.setattr(test_related.R, "LEAF", 15)
+    monkeypatch.setattr(test_related.R, "PART", 40, raising=False)
+    monkeypatch.setattr(test_related.R, "RECALL", 1.0, raising=False)
+    rng = random.Random(9)
+    rows = [(i, " ".join(words(rng, 40, 150))) for i in range(110)]
+    out = corpus_pipeline.packing_stage(spark, make_docs(rows), sf_dir)
+    got = sorted((r.window_id, r.place, r.doc_id, r.first_token, r.n_tokens) for r in out.collect())
+    assert got == test_related.plain(rows, packing.WINDOW)
