@@ -286,3 +286,46 @@ def test_leaves_grow_until_they_hold_the_true_neighbours(make_docs, monkeypatch)
 def test_words_are_squeezed_without_loss():
     v = np.array([5 << 8 | 1, 9 << 8 | 255, 3 << 8 | 2, 0xFFFFFF07, 7], np.uint32)
     assert R.unsqueeze(R.squeeze(v)).tolist() == v.tolist() and len(R.unsqueeze(R.squeeze(v[:0]))) == 0
+
+
+def test_bands_that_are_not_compared_by_all_words_keep_their_near_copies(monkeypatch):
+    monkeypatch.setattr(R, "SPAN", 200)
+    monkeypatch.setattr(R, "RARE", 50)
+    rng = random.Random(12)
+    texts = [" ".join(words(rng, rng.choice([4, 90]), 6000)) for _ in range(500)]
+    long = [i for i, t in enumerate(texts) if t.count(" ") > 50]
+    copies = {len(texts) + k: i for k, i in enumerate(long[:40])}
+    texts += [" ".join(texts[i].split()[:-5] + words(rng, 5, 6000)) for i in copies.values()]
+    starts, h, c, _, _ = R.word_counts(pa.array(texts))
+    n, v = np.diff(starts).astype(np.int32), (h << np.uint32(8)) | c
+    idf = np.log1p(len(texts) / np.maximum(np.bincount(h & np.uint32(R.BUCKETS - 1), minlength=R.BUCKETS), 1)).astype(np.float16)
+    row = np.arange(len(texts))
+    bands = R.Bands(np.array([20]), np.array([[True, True], [True, False]]))
+    vectors = lambda r: (n[r], *R.weights(n[r], v[R._places(starts, n, r)], idf))
+    whole = {(a, b): d for a, b, d in zip(*(x.tolist() for x in R.tiled_neighbours(row, vectors, 6)))}
+    a, b, d = R.tiled_neighbours(row, vectors, 6, bands=(bands.of(n), bands.wanted, lambda x: R.rare(x, idf)))
+    found = {(x, y): z for x, y, z in zip(a.tolist(), b.tolist(), d.tolist())}
+    assert len(found) == len(a) and all((i, j) in found and (j, i) in found for i, j in copies.items())
+    cosine = lambda x, y: R.pair_cosines(*vectors(np.array([x])), *vectors(np.array([y])))[0]
+    assert all(abs(2 - 2 * cosine(x, y) - z) < 1e-4 for (x, y), z in list(found.items())[::50])
+    short = {i for i in row.tolist() if n[i] < 20}
+    # whoever is short has met all
+    assert np.mean([k in found for k in whole if k[0] in short]) > 0.99
+
+
+def test_less_than_all_pairs_hold_the_true_neighbours_of_texts_without_groups(make_docs, monkeypatch):
+    """Texts of random words in three languages and of all lengths: comparing nearly all pairs isn't needed."""
+    rng = random.Random(5)
+    zipf = [1 / (k + 3) for k in range(3000)]
+    texts = []
+    for i in range(1800):
+        mark = "xyz"[i % 3]
+        texts.append(" ".join(f"{mark}{k}" for k in rng.choices(range(3000), zipf, k=int(4 * 1.5 ** rng.uniform(0, 11)))))
+    texts = list(dict.fromkeys(texts))
+    monkeypatch.setattr(R, "LEAF", 60)
+    monkeypatch.setattr(R, "SPAN", 200)
+    got, at = graph(make_docs, texts)
+    g, near = true_neighbours(texts, 6)
+    assert np.mean([len(got.get(i, set()) & set(near[i].tolist())) / 6 for i in range(len(texts))]) >= 0.9
+    bands = getattr(at, "bands", None)
+    assert at.compared * (bands.wanted.mean() if bands else 1) < 0.4 * len(texts) ** 2
