@@ -3,11 +3,14 @@
 import random
 import statistics
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from penstroke import plans
 from penstroke.functions import clean, counts, lexicons, segment
-from penstroke.operators import profile, turns
+from penstroke.operators import profile, rules, turns
+from penstroke.plans import sql
 
 
 def one(spark, text, column):
@@ -185,3 +188,20 @@ def test_turn_filters(spark):
     rows = [(1, 0, "user", "`" + "c" * 30 + "` ok"), (1, 1, "user", "a" * 20), (1, 2, "user", "b" * 21), (1, 3, "assistant", "c" * 40), (1, 4, "user", None), (1, 5, "user", "Well, as an AI I can say more.")]
     found = turns.author_turns(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()
     assert sorted(r.cleaned for r in found) == ["b" * 21, "ok"]
+
+
+#: Letters beyond ASCII end no word for the SQL's patterns.
+BOUNDS = ["Es ist verübe den Ton.", "Es ist übe denü und.", "Sie ging zuäfig. Dann kam er.", "Sie ging zurfig. Dann kam er.", "äutilize ärobust robustä"]
+
+
+def test_word_boundaries_are_those_of_the_sql(spark):
+    con = duckdb.connect()
+    texts = spark.createDataFrame(list(enumerate(BOUNDS)), "doc_id long, text string")
+    con.execute(f"CREATE TABLE documents AS SELECT doc_id, 's' AS source, 'de' AS lang, text FROM (VALUES {', '.join(f'({i}, {sql.lit(t)})' for i, t in enumerate(BOUNDS))}) v(doc_id, text)")
+    found = rules.soft_checks(profile.measure(texts, ["doc_id"]), "doc_id")
+    assert sorted(map(tuple, found.collect())) == sorted(con.execute(plans.SQL["soft_checks"]).fetchall())
+    assert [r.passive_opening for r in found.orderBy("doc_id").collect()] == [True, True, False, False, False]
+    rows = profile.measure(texts, ["doc_id"]).select("doc_id", "sentence_count").collect()
+    assert sorted(map(tuple, rows)) == sorted(con.execute(f"SELECT doc_id, sentence_count FROM ({plans.SQL['document_counts']})").fetchall())
+    hits = {(r.doc_id, r.ban, r.hits) for r in rules.scan(texts, "doc_id").collect()}
+    assert hits == {(i, b, n) for i, b, _, n in con.execute(plans.SQL["ban_scan"]).fetchall() if i >= 0} and len(hits) == 2
