@@ -7,7 +7,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from penstroke.operators import profile, tokens
+from penstroke.operators import concatenated, profile, tokens
+from penstroke.plans import analysis
 from penstroke.plans.measures import CASES
 
 ODD = [
@@ -89,3 +90,44 @@ def test_final_aggregation_sees_no_word(spark):
     row = profile.scalars(m, ["source"]).first()
     n = Counter(w for r in m.select(F.explode("words").alias("w")).collect() for w in [r.w])
     assert row.hapax_ratio == sum(v == 1 for v in n.values()) / sum(n.values())
+
+
+#: Marks that reach over the ends of documents, and ends that take or give white space.
+SPANNING = [
+    "a < b. Open", "c > d and on.", "```", "code", "``` after", "[name", "— what it is", "till ] here", "{#", "} closed", "[text", "more](u", "rl) end", "# ", "Heading", "| a |", "|", "---", "***", "*", "x*", "ends\n", "\nbegins", " ",
+    "`a`", "<b>", "etc.", "A", "no end", "and but", "Yet. Then", "(x)", "Done!", "\"Q\"", "- item", "---\nt: a", "---", "\\[1\\]", "plain text here.", "Plain again", "But. Yet", "I think",
+]
+
+
+def test_corpus_counts_are_those_of_one_row(spark, monkeypatch):
+    """Whatever the cuts: the counts of a scope in segments are those of its documents in one row."""
+    rng = random.Random(8)
+    rows = [(i, f"s{i % 40}" if i % 40 else None, rng.choice(SPANNING) if rng.random() < 0.6 else rng.choice(SPANNING[-14:])) for i in range(1200)]
+    rows += [(2000 + i, "plain", rng.choice(["It goes on", "and on.", "Then but", "yet. Ends.", "etc.", "No!"])) for i in range(300)] + [(1, "front", "---"), (2, "front", "a: b\n---"), (3, "front", "Text.")]
+    texts = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    names = ["source", *[c for c in profile.COUNTS if not c.startswith("window")]]
+    want = profile.measure(profile.corpus(texts, ["source"]), ["source"]).select(names).orderBy("source").collect()
+    inputs = texts.where(F.col("text") != " ").orderBy("source", "doc_id", "text").toArrow().to_batches()
+    for size in (1, 25):
+        monkeypatch.setattr(concatenated, "SEGMENT", size)
+        cuts = [(k, s) for k, xs in concatenated._by_scope(iter(inputs), ["source"], "text") for s in concatenated.cut(xs)]
+        assert len(cuts) > 42 + 100
+        segments = spark.createDataFrame([(k[0], t, f) for k, (t, f) in cuts], "source string, text string, first boolean").coalesce(1)
+        found = concatenated.added_up(segments, ["source"]).orderBy("source").collect()
+        assert [r.asDict() for r in found] == [r.asDict() for r in want]
+    monkeypatch.undo()
+    assert concatenated.corpus_counts(texts, ["source"]).orderBy("source").collect() == want
+
+
+def test_segments_of_plain_texts_are_short():
+    """One row held a scope; 1 GB ended executors."""
+    texts = ["Some plain words, and more. Then others -- of them."] * 20_000
+    found = list(concatenated.cut(iter(texts)))
+    assert max(len(t) for t, _ in found) < 2 * concatenated.SEGMENT and "\n\n".join(t for t, _ in found) == "\n\n".join(texts)
+
+
+def test_baseline_measures_the_documents_once(spark):
+    plan = analysis.baseline_rules(spark, "/root/testdata/sf0.001")
+    plan.collect()
+    final = plan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("MapInArrow") == 1
